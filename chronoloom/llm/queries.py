@@ -1,0 +1,27 @@
+"""Queries of the llm operators, over whole tables, with the equivalent SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chronoloom.llm import credentials
+from chronoloom.sources.tables import nodes, table
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.stored_texts(
+        table(spark, d, "hook_events").dropDuplicates(["event_id"]).select("event_id", "tool_input", "tool_response"),
+        nodes(spark, d).select("id", "content"),
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find_credentials(_texts(spark, d)).select("table_name", "field", "record_id", "start_pos")
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.mask_credentials(_texts(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_masked)}
+ORACLE: dict[str, str] = {}

@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import credentials
-from chronoloom.sources.tables import nodes, table
+from chronoloom.llm import credentials, near_duplicates
+from chronoloom.sources.tables import table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.stored_texts(
-        table(spark, d, "hook_events").dropDuplicates(["event_id"]).select("event_id", "tool_input", "tool_response"),
-        nodes(spark, d).select("id", "content"),
-    )
+    return credentials.stored_texts(table(spark, d, "hook_events"), table(spark, d, "graph_nodes"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.find_credentials(_texts(spark, d)).select("table_name", "field", "record_id", "start_pos")
+    return credentials.find_credentials(_texts(spark, d)).select("table_name", "field", "record_id", "start_pos").distinct()
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.mask_credentials(_texts(spark, d))
+    # repeated rows are whole copies; only the few texts with credentials are compared
+    return credentials.mask_credentials(_texts(spark, d)).dropDuplicates(["table_name", "field", "record_id"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_masked)}
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.stored_texts(table(spark, d, "graph_nodes"), table(spark, d, "detected_patterns"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_near(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_near(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_masked)}
 ORACLE: dict[str, str] = {}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import credentials, near_duplicates
+from chronoloom.llm import credentials, near_duplicates, neighbours
 from chronoloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "graph_nodes"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return credentials.stored_texts(table(spark, d, "hook_events"), table(spark, d, "graph_nodes"))
 
@@ -33,5 +37,5 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_near(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found, p5_masked)}
 ORACLE: dict[str, str] = {}

@@ -19,19 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.orphans import key_filter, may_exist
 from chronoloom.session import discard, materialize
 
 #: Bytes of a sketch. The cosine it gives is off by about (1 - cos**2) / sqrt(SKETCH).
-SKETCH = 64
+SKETCH = 96
 #: Sorted tables for the first graph, bits of their keys, and rows compared at a time.
 TABLES, KEY_BITS, WINDOW = 8, 20, 1024
 #: Length of the neighbour lists in the graph, and neighbours of a node used per round in both directions together.
 LIST, FAN = 12, 20
 #: Rounds at most, and the share of changed list entries at which to stop.
 ROUNDS, ENOUGH = 4, 0.01
-#: The graph keeps pairs whose sketches are this much less similar than what is asked for; of these the exact cosine is
-#: taken for pairs within CHECK.
-SLACK, CHECK = 0.2, 0.15
+#: The graph keeps pairs whose sketches are this much less similar than what is asked for, more than three standard
+#: deviations of a sketch's error at 0.8; unlike pairs that only seem similar stay few. Exact cosines are taken within CHECK.
+SLACK, CHECK = 0.12, 0.12
 #: Pairs of a block above which it is split, and vectors up to which all of a block are compared with one another in memory.
 #: Above that, a block's own pairs alone are settled: the rounds before have joined those neighbourhoods already.
 BLOCK, WHOLE = 20_000, 2048
@@ -246,7 +247,10 @@ def exact_pairs(graph: DataFrame, points: DataFrame, packed: DataFrame, least: f
     pairs = pairs.join(sizes, "block", "left").withColumn("part", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / BLOCK)))).drop("k")
     pairs = materialize(pairs.withColumn("part", F.col("part").cast("long")), "blocks")
     wanted = pairs.select("block", "part", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    blobs = points.select("cid", "field", "vkey").join(packed.select("field", "vkey", "packed").dropDuplicates(["field", "vkey"]), ["field", "vkey"]).select("cid", "packed")
+    keys = materialize(points.select("cid", "field", "vkey").join(wanted.select("cid").distinct(), "cid"), "keys")
+    # a bounded filter leaves out the vectors of points without any pair before they are shuffled
+    some = packed.select("field", "vkey", "packed").where(may_exist(key_filter(keys, "vkey"), "vkey"))
+    blobs = keys.join(some.dropDuplicates(["field", "vkey"]), ["field", "vkey"]).select("cid", "packed")
     nothing = F.lit(None).cast("binary")
     rows = pairs.select("block", "part", F.lit(1).alias("kind"), "a", "b", nothing.alias("packed")).unionByName(
         wanted.join(blobs, "cid").select("block", "part", F.lit(0).alias("kind"), F.col("cid").alias("a"), F.lit(0).cast("long").alias("b"), "packed")

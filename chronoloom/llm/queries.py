@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoloom.llm import credentials, near_duplicates, neighbours
+from chronoloom.llm import abuse, credentials, mixing, near_duplicates, neighbours, packing, tokens
 from chronoloom.sources.tables import table
 
 
@@ -37,5 +38,46 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_near(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found, p5_masked)}
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_items(tokens.with_token_counts(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "context_budgets"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_placed(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_placed(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("text_key", F.unhex(F.md5("text")))
+    return mixing.mix(tokens.with_token_counts(docs, ["doc_id", "source", "text_key"]), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where("abusive").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates_by_source(_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found, p5_masked, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used at most (those of the smallest hash of doc_id), and characters of each: the index has a proven bound.
 MAX_LABELLED, MAX_CHARS = 20_000, 20_000
+#: Harmless passages without any unusual word that are kept as examples at most (those of the smallest hash); all others stay.
+MAX_PLAIN = 4_000
 #: Nearest examples that vote, and the least cosine of an example that may vote.
 NEAREST, LEAST = 7, 0.35
 #: Examples per block of the index.
@@ -222,6 +225,14 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     tokens = [t for _, t in rows]
     share = np.array(list(rows.values()))
     good = np.flatnonzero(share < 0.5)
+    usual = {w for w in {w for t in tokens for w in t} if idf.get(w, rare) < 0.6 * rare}
+    unusual = np.array([any(w not in usual for w in t) for t in tokens])
+    rest: dict[tuple[str, ...], int] = {}
+    for i in np.flatnonzero(~unusual):
+        rest.setdefault(tokens[i], int(i))
+    kept = set(sorted(rest.values(), key=lambda i: zlib.crc32(" ".join(tokens[i]).encode()))[:MAX_PLAIN])
+    used = np.array([bool(unusual[i]) or i in kept for i in range(len(tokens))])
+    good = good[used[good]]
 
     def once(which: np.ndarray, label: np.ndarray) -> ExampleIndex:
         seen: dict[tuple[str, ...], list[int]] = {}
@@ -232,7 +243,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
 
     harmless = once(good, np.zeros(len(tokens)))
     label = np.zeros(len(tokens))
-    plain = {w for i in good for w in tokens[i]}
+    plain = {w for i in np.flatnonzero(share < 0.5) for w in tokens[i]}
     strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in plain or idf.get(w, rare) > 0.6 * rare) for t in tokens])
     most: dict[int, float] = {}
     suspects = np.flatnonzero(share >= 0.5)
@@ -244,7 +255,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
             near = harmless.nearest(list(tokens[i]), 1)
             if not near or near[0][0] < ORDINARY:
                 label[i] = share[i]
-    index = once(np.arange(len(tokens)), label)
+    index = once(np.flatnonzero(used), label)
     truth, scores = [], []
     per_doc: dict[int, list[tuple[str, ...]]] = {}
     for d, t in zip(docs, tokens, strict=True):
@@ -256,7 +267,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         truth.append(of[d] >= 0.5)
     truth_a, scores_a = np.array(truth), np.array(scores)
     best, threshold = -1.0, 0.5
-    for t in np.arange(0.2, 0.81, 0.05):
+    for t in np.arange(0.3, 0.71, 0.05):
         hit = scores_a >= t
         f1 = 2 * (hit & truth_a).sum() / max(1, hit.sum() + truth_a.sum())
         if f1 > best + 1e-9 or (abs(f1 - best) < 1e-9 and abs(t - 0.5) < abs(threshold - 0.5)):

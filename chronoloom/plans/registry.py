@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import core_queries
+from chronoloom.plans import core_queries, temporal_queries
 
-QUERIES = {**core_queries.QUERIES}
-ORACLE = {**core_queries.ORACLE}
+MODULES = (core_queries, temporal_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 FLAGSHIP = "p2_report"

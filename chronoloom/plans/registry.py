@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import core_queries, temporal_queries
+from chronoloom.plans import core_queries, graph_queries, temporal_queries
 
-MODULES = (core_queries, temporal_queries)
+MODULES = (core_queries, temporal_queries, graph_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
 FLAGSHIP = "p2_report"

@@ -30,8 +30,8 @@ MAX_PLAIN = 4_000
 NEAREST, LEAST = 7, 0.35
 #: Examples per block of the index.
 BLOCK = 64
-#: A passage of an abusive document is an example of abuse only if no passage of harmless documents is this near.
-ORDINARY = 0.62
+#: Nearest unusual passages of other documents that are asked whether a passage of a labelled document is abusive.
+OPINIONS = 15
 
 # Letters of other scripts and signs that stand in for Latin letters. i, l, 1, ! and | fold to one letter.
 _LOOKALIKES = {
@@ -65,25 +65,33 @@ def fold_word(token: str) -> str:
     return "".join(c for c in t if c.isalnum() or c == "*")
 
 
+class _Memory(dict):
+    """Folded tokens, computed when first asked for, forgotten when there are too many."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        w = self[token] = fold_word(token)
+        return w
+
+
 class _Folder:
-    """fold_word with a bounded memory of tokens already folded."""
+    """Texts as passages and their folded words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, str] = {}
+        self.known = _Memory()
 
     def words(self, passage: str) -> list[str]:
         if _SPELLED.search(passage):
             passage = _SPELLED.sub(lambda m: re.sub(r"[-_.·* ]", "", m[0]), passage)
-        if len(self.known) > 300_000:
-            self.known.clear()
-        known, out = self.known, []
-        for token in passage.split():
-            w = known.get(token)
-            if w is None:
-                w = known[token] = fold_word(token)
-            if w:
-                out.append(w)
-        return out
+        return [w for w in map(self.known.__getitem__, passage.split()) if w]
+
+    def passages(self, text: str) -> list[tuple[str, list[str]]]:
+        """Each passage of a text with its words. Letters set apart are looked for once in the whole text."""
+        known = self.known.__getitem__
+        if _SPELLED.search(text):
+            return [(p, self.words(p)) for p in passages(text)]
+        return [(p, [w for w in map(known, p.split()) if w]) for p in passages(text)]
 
 
 def passages(text: str) -> list[str]:
@@ -130,10 +138,9 @@ class ExampleIndex:
         n_bad = int((self.labels > 0.5).sum())
         end = self.starts[n_bad]
         np.maximum.at(self.bad, self.cols[:end], self.vals[:end])
+        self.n_bad = n_bad
         self.bad_word = {w: float(self.bad[i] * self.idf[i]) for w, i in self.ids.items() if self.bad[i] > 0}
-        self.by_length: dict[int, list[str]] = {}
-        for w in self.bad_word:
-            self.by_length.setdefault(len(w), []).append(w)
+        self.parts = {w: (float(self.idf[i] ** 2), float(self.idf[i] * self.bad[i])) for w, i in self.ids.items()}
         self.wild: dict[str, str] = {}
 
     def known(self, w: str) -> str:
@@ -157,19 +164,24 @@ class ExampleIndex:
 
     def may_be_abusive(self, words: list[str]) -> bool:
         """False only if no abusive example can be LEAST similar: the block-max bound over all blocks of abusive examples."""
-        bound, norm = 0.0, 0.0
-        for w, n in Counter(words).items():
-            i = self.ids.get(w)
-            if i is None:
-                norm += (0.5 * self.rare) ** 2
-                continue
-            q = (1 + np.log(n) if n > 1 else 1.0) * self.idf[i]
-            norm += q * q
-            bound += q * self.bad[i]
-        return bound > 0 and bound >= LEAST * norm**0.5 - 1e-12
-
-    def nearest(self, words: list[str], k: int = NEAREST, without: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest examples with a cosine of at least LEAST. without: a document to leave out."""
+        bound = norm = 0.0
+        unknown, get = (0.5 * self.rare) ** 2, self.parts.get
+        once = set(words)
+        for w in once:
+            t = get(w)
+            if t is None:
+                norm += unknown
+            else:
+                norm += t[0]
+                bound += t[1]
+        if len(once) < len(words):
+            # a word said n times weighs 1 + log n times as much
+            bound *= 1 + np.log(len(words) - len(once) + 1)
+        return bound > 0 and bound * bound >= LEAST * LEAST * norm * (1 - 1e-9)
+
+    def nearest(self, words: list[str], k: int = NEAREST, without: int | None = None, only_if_bad: bool = False) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest examples with a cosine of at least LEAST. without: a document to leave out.
+        only_if_bad: nothing at all if no abusive example is LEAST similar, which the few blocks of these tell first."""
         cols, vals = self.vector(words)
         if not len(cols):
             return []
@@ -177,6 +189,15 @@ class ExampleIndex:
         bound = np.bincount(np.concatenate([a for a, _ in at]), np.concatenate([b for _, b in at]), self.n_blocks)
         dense = np.zeros(len(self.idf))
         dense[cols] = vals
+        if only_if_bad:
+            for b in np.flatnonzero(bound[: -(-self.n_bad // BLOCK)] >= LEAST):
+                lo, hi = b * BLOCK, min(len(self.labels), (b + 1) * BLOCK)
+                s, e = self.starts[lo], self.starts[hi]
+                cos = np.add.reduceat(dense[self.cols[s:e]] * self.vals[s:e], self.starts[lo:hi] - s)
+                if (cos[: self.n_bad - lo] >= LEAST).any():
+                    break
+            else:
+                return []
         found: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
             worst = found[k - 1][0] if len(found) >= k else LEAST
@@ -194,7 +215,7 @@ class ExampleIndex:
 
     def score(self, words: list[str], without: int | None = None) -> tuple[float, int, float]:
         """(vote for abuse in 0..1, nearest abusive example or -1, its cosine)."""
-        near = self.nearest(words, without=without)
+        near = self.nearest(words, without=without, only_if_bad=True)
         total = votes = 0.0
         best, cosine = -1, 0.0
         for cos, i in near:
@@ -209,7 +230,8 @@ class ExampleIndex:
 def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: int) -> tuple[ExampleIndex, float]:
     """The index of labelled (doc_id, text, share of raters who said abusive), and the decision threshold.
 
-    Passages of an abusive document that harmless documents have too are examples of harmless text. The threshold is the one of
+    An unusual passage is an example of abuse if its document and those of the passages like it were mostly called so; all other
+    passages are examples of harmless text. The threshold is the one of
     the best F1 on the labelled documents, each scored without its own passages.
     """
     folder = _Folder()
@@ -217,14 +239,12 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     rare = float(np.log((n_passages + 1) / 1.5))
     rows: dict[tuple[int, tuple[str, ...]], float] = {}
     for doc, text, share in zip(labelled["doc_id"], labelled["text"], labelled["share"], strict=True):
-        for p in passages(text):
-            w = tuple(folder.words(p))
-            if w:
-                rows[(int(doc), w)] = float(share)
+        for _, words in folder.passages(text):
+            if words:
+                rows[(int(doc), tuple(words))] = float(share)
     docs = [d for d, _ in rows]
     tokens = [t for _, t in rows]
     share = np.array(list(rows.values()))
-    good = np.flatnonzero(share < 0.5)
     usual = {w for w in {w for t in tokens for w in t} if idf.get(w, rare) < 0.6 * rare}
     unusual = np.array([any(w not in usual for w in t) for t in tokens])
     rest: dict[tuple[str, ...], int] = {}
@@ -232,7 +252,6 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         rest.setdefault(tokens[i], int(i))
     kept = set(sorted(rest.values(), key=lambda i: zlib.crc32(" ".join(tokens[i]).encode()))[:MAX_PLAIN])
     used = np.array([bool(unusual[i]) or i in kept for i in range(len(tokens))])
-    good = good[used[good]]
 
     def once(which: np.ndarray, label: np.ndarray) -> ExampleIndex:
         seen: dict[tuple[str, ...], list[int]] = {}
@@ -241,20 +260,17 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         firsts = [v[0] for v in seen.values()]
         return ExampleIndex([tokens[i] for i in firsts], np.array([float(np.mean(label[v])) for v in seen.values()]), np.array([len(v) for v in seen.values()], float), [docs[i] for i in firsts], idf, rare)
 
-    harmless = once(good, np.zeros(len(tokens)))
+    # raters err: what an unusual passage is, the documents of passages like it tell better than its own alone
+    strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in usual) for t in tokens])
+    suspects = np.flatnonzero(strange >= 1.2 * rare)
     label = np.zeros(len(tokens))
-    plain = {w for i in np.flatnonzero(share < 0.5) for w in tokens[i]}
-    strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in plain or idf.get(w, rare) > 0.6 * rare) for t in tokens])
-    most: dict[int, float] = {}
-    suspects = np.flatnonzero(share >= 0.5)
-    for i in suspects:
-        most[docs[i]] = max(most.get(docs[i], 0.0), strange[i])
-    for i in suspects:
-        # the passages of an abusive document that are unlike everything in harmless ones, by at least two words
-        if strange[i] >= max(1.2 * rare, 0.5 * most[docs[i]]):
-            near = harmless.nearest(list(tokens[i]), 1)
-            if not near or near[0][0] < ORDINARY:
-                label[i] = share[i]
+    if len(suspects):
+        opinions = ExampleIndex([tokens[i] for i in suspects], share[suspects], np.ones(len(suspects)), [docs[i] for i in suspects], idf, rare)
+        for i in suspects:
+            near = opinions.nearest(list(tokens[i]), OPINIONS, without=docs[i])
+            w = np.array([c * c for c, _ in near])
+            votes = (share[i] + float((w * opinions.labels[[j for _, j in near]]).sum())) / (1 + float(w.sum())) if near else share[i]
+            label[i] = float(votes >= 0.5)
     index = once(np.flatnonzero(used), label)
     truth, scores = [], []
     per_doc: dict[int, list[tuple[str, ...]]] = {}
@@ -290,9 +306,9 @@ def word_counts(documents: DataFrame) -> DataFrame:
         for pdf in batches:
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    for p in passages(text):
+                    for _, words in folder.passages(text):
                         counts[""] += 1
-                        counts.update(set(folder.words(p)))
+                        counts.update(set(words))
             if len(counts) > 200_000:
                 yield out()
                 counts.clear()
@@ -318,7 +334,7 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     labelled = labelled_texts(documents, labels).toPandas()  # bounded by MAX_LABELLED documents of MAX_CHARS
     folder = _Folder()
-    vocabulary = sorted({w for t in labelled["text"] for p in passages(t) for w in folder.words(p)} | {""})
+    vocabulary = sorted({w for t in labelled["text"] for _, words in folder.passages(t) for w in words} | {""})
     wanted = spark.createDataFrame([(w,) for w in vocabulary], "word string")
     counts = {r["word"]: r["n"] for r in word_counts(documents).join(F.broadcast(wanted), "word").collect()}
     index, threshold = build_index(labelled, counts, counts.pop("", 0))
@@ -331,12 +347,10 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
             best: list[tuple] = []
             for text in pdf["text"]:
                 top: tuple = (0.0, None, None, None)
-                for p in passages(text) if isinstance(text, str) else ():
-                    words = fold.words(p)
-                    if not words:
-                        continue
-                    words = [ix.known(w) for w in words]
-                    if not any(w in ix.bad_word for w in words) or not ix.may_be_abusive(words):
+                for p, words in fold.passages(text) if isinstance(text, str) else ():
+                    if "*" in p:
+                        words = [ix.known(w) for w in words]
+                    if not ix.may_be_abusive(words):
                         continue
                     key = " ".join(words)
                     if key not in memory:

@@ -140,13 +140,13 @@ def typed_chunks(docs: DataFrame) -> DataFrame:
 def front_matter(docs: DataFrame) -> DataFrame:
     """(id, fields, body): the key: value lines between leading --- lines as a map, and the rest of the text."""
     head = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---\r?(?:\n|\z)", 1)
-    pairs = F.filter(F.transform(F.split(head, r"\r?\n"), lambda l: F.regexp_extract_all(l, F.lit(r"^([\w-]+):\s*(.*)$"), F.lit(0))[0]), lambda x: x.isNotNull())
+    pairs = F.filter(F.transform(F.split(head, r"\r?\n"), lambda l: F.get(F.regexp_extract_all(l, F.lit(r"^([\w-]+):\s*(.*)$"), F.lit(0)), F.lit(0))), lambda x: x.isNotNull())
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^[\w-]+:\s*", ""), r"""^["']|["']$""", "")).alias("v")))
     body = F.regexp_replace("text", r"(?s)\A---\r?\n.*?\r?\n---\r?(?:\n|\z)", "")
     keys = F.array_distinct(F.transform("e", lambda x: x["k"]))
     rows = docs.where("text is not null").select("id", F.when(F.length(head) > 0, entries).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("e"), body.alias("body"))
     # of a key said twice the first counts
-    return rows.select("id", F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter("e", lambda x: x["k"] == k)[0]["v"])).alias("fields"), "body")
+    return rows.select("id", F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter("e", lambda x: x["k"] == k), F.lit(0))["v"])).alias("fields"), "body")
 
 
 def failures(docs: DataFrame) -> DataFrame:

@@ -139,6 +139,15 @@ class ExampleIndex:
         end = self.starts[n_bad]
         np.maximum.at(self.bad, self.cols[:end], self.vals[:end])
         self.n_bad = n_bad
+        # the heaviest words of each abusive example, until those left together weigh less than LEAST: without one of
+        # them a passage cannot be LEAST similar to it
+        lead: set[int] = set()
+        for i in range(n_bad):
+            k, v = self.cols[self.starts[i] : self.starts[i + 1]], self.vals[self.starts[i] : self.starts[i + 1]]
+            o = np.argsort(-v)
+            after = 1 - np.cumsum(v[o] ** 2)
+            lead.update(k[o][: int(np.argmax(after < LEAST * LEAST)) + 1].tolist())
+        self.lead = frozenset(vocabulary[i] for i in lead)
         self.bad_word = {w: float(self.bad[i] * self.idf[i]) for w, i in self.ids.items() if self.bad[i] > 0}
         self.parts = {w: (float(self.idf[i] ** 2), float(self.idf[i] * self.bad[i])) for w, i in self.ids.items()}
         self.wild: dict[str, str] = {}
@@ -163,7 +172,10 @@ class ExampleIndex:
         return cols, v / max(1e-9, norm)
 
     def may_be_abusive(self, words: list[str]) -> bool:
-        """False only if no abusive example can be LEAST similar: the block-max bound over all blocks of abusive examples."""
+        """False only if no abusive example can be LEAST similar: none of their leading words is there, or the largest weights of the
+        passage's words in any abusive example don't add up to it."""
+        if self.lead.isdisjoint(words):
+            return False
         bound = norm = 0.0
         unknown, get = (0.5 * self.rare) ** 2, self.parts.get
         once = set(words)

@@ -20,9 +20,11 @@ SALTS = 16
 
 
 def key_filter(parents: DataFrame, key: str) -> bytes:
-    """A serialised Bloom filter of the keys, built in one aggregation on the executors and at most 16 MB."""
+    """A serialised Bloom filter of the keys, built in one aggregation on the executors and at most 16 MB; empty without keys."""
     hashed = parents.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"))
-    n = max(1, hashed.count())
+    n = hashed.count()
+    if not n:
+        return b""
     bits = max(1024, min(MAX_FILTER_BITS, n * BITS_PER_KEY))
     bloom = hashed._jdf.stat().bloomFilter("h", n, bits)
     out = parents.sparkSession._jvm.java.io.ByteArrayOutputStream()
@@ -32,6 +34,8 @@ def key_filter(parents: DataFrame, key: str) -> bytes:
 
 def may_exist(filter_bytes: bytes, ref: str) -> Column:
     """False only if no parent has this key. Runs inside the JVM's generated code."""
+    if not filter_bytes:
+        return F.lit(False)
     from pyspark.sql import SparkSession
 
     expressions = SparkSession.active()._jvm.org.apache.spark.sql.catalyst.expressions

@@ -28,8 +28,8 @@ MAX_LABELLED, MAX_CHARS = 20_000, 20_000
 MAX_PLAIN = 4_000
 #: Nearest examples that vote, and the least cosine of an example that may vote.
 NEAREST, LEAST = 7, 0.35
-#: Examples per block of the index.
-BLOCK = 64
+#: Examples per block of the index; examples with the same heaviest words stand together.
+BLOCK = 16
 #: Nearest unusual passages of other documents that are asked whether a passage of a labelled document is abusive.
 OPINIONS = 15
 
@@ -109,8 +109,9 @@ class ExampleIndex:
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.idf = np.array([idf.get(w, rare) for w in vocabulary], np.float64)
         self.rare = rare
-        # abusive examples first, so that blocks are of one kind
-        order = np.argsort(-labels, kind="stable")
+        # abusive examples first, so that blocks are of one kind; then by their rarest words
+        heavy = [sorted(set(t), key=lambda w: (-idf.get(w, rare), w))[:3] for t in tokens]
+        order = np.array(sorted(range(len(tokens)), key=lambda i: (-labels[i], heavy[i])), int)
         self.labels, self.weights, self.docs = labels[order], weights[order], [docs[i] for i in order]
         cols, vals, starts = [], [], [0]
         for i in order:
@@ -149,7 +150,12 @@ class ExampleIndex:
             lead.update(k[o][: int(np.argmax(after < LEAST * LEAST)) + 1].tolist())
         self.lead = frozenset(vocabulary[i] for i in lead)
         self.bad_word = {w: float(self.bad[i] * self.idf[i]) for w, i in self.ids.items() if self.bad[i] > 0}
-        self.parts = {w: (float(self.idf[i] ** 2), float(self.idf[i] * self.bad[i])) for w, i in self.ids.items()}
+        # the part of the block maxima that abusive examples have, as a table for many passages at once
+        blocks = -(-n_bad // BLOCK)
+        self.bad_top = np.zeros((len(vocabulary), blocks), np.float32)
+        mine = self.top_block < blocks
+        word = np.repeat(np.arange(len(vocabulary)), np.diff(self.top_at))
+        self.bad_top[word[mine], self.top_block[mine]] = self.top[mine]
         self.wild: dict[str, str] = {}
 
     def known(self, w: str) -> str:
@@ -171,45 +177,49 @@ class ExampleIndex:
         norm = np.sqrt(float((v**2).sum()) + unknown * (0.5 * self.rare) ** 2)
         return cols, v / max(1e-9, norm)
 
-    def may_be_abusive(self, words: list[str]) -> bool:
-        """False only if no abusive example can be LEAST similar: none of their leading words is there, or the largest weights of the
-        passage's words in any abusive example don't add up to it."""
-        if self.lead.isdisjoint(words):
-            return False
-        bound = norm = 0.0
-        unknown, get = (0.5 * self.rare) ** 2, self.parts.get
-        once = set(words)
-        for w in once:
-            t = get(w)
-            if t is None:
-                norm += unknown
-            else:
-                norm += t[0]
-                bound += t[1]
-        if len(once) < len(words):
+    def may_be_abusive(self, passages_: list[list[str]]) -> np.ndarray:
+        """For many passages: False only if no abusive example can be LEAST similar, because none of their leading words is there or
+        in no block of theirs the largest weights of the passage's words add up to it."""
+        out = np.zeros(len(passages_), bool)
+        some = [i for i, w in enumerate(passages_) if not self.lead.isdisjoint(w)]
+        get, unknown = self.ids.get, (0.5 * self.rare) ** 2
+        for lo in range(0, len(some), 20_000):
+            part = some[lo : lo + 20_000]
+            cols: list[int] = []
+            starts, strange, often = [], [], []
+            for i in part:
+                words = passages_[i]
+                once = set(words)
+                k = [c for c in map(get, once) if c is not None]
+                starts.append(len(cols))
+                cols += k
+                strange.append(len(once) - len(k))
+                often.append(len(words) - len(once))
+            c = np.array(cols, np.int64)
+            q = self.idf[c]
+            norm = np.sqrt(np.add.reduceat(q * q, starts) + unknown * np.array(strange))
+            bound = np.add.reduceat(self.bad_top[c] * q.astype(np.float32)[:, None], starts, axis=0).max(axis=1)
             # a word said n times weighs 1 + log n times as much
-            bound *= 1 + np.log(len(words) - len(once) + 1)
-        return bound > 0 and bound * bound >= LEAST * LEAST * norm * (1 - 1e-9)
+            bound = bound * (1 + np.log1p(np.array(often)))
+            out[np.array(part)] = bound >= LEAST * norm * (1 - 1e-5)
+        return out
 
     def nearest(self, words: list[str], k: int = NEAREST, without: int | None = None, only_if_bad: bool = False) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest examples with a cosine of at least LEAST. without: a document to leave out.
-        only_if_bad: nothing at all if no abusive example is LEAST similar, which the few blocks of these tell first."""
+        only_if_bad: nothing at all if no abusive example is LEAST similar, which is looked at first."""
         cols, vals = self.vector(words)
         if not len(cols):
             return []
-        at = [(self.top_block[self.top_at[c] : self.top_at[c + 1]], self.top[self.top_at[c] : self.top_at[c + 1]] * v) for c, v in zip(cols, vals, strict=True)]
-        bound = np.bincount(np.concatenate([a for a, _ in at]), np.concatenate([b for _, b in at]), self.n_blocks)
         dense = np.zeros(len(self.idf))
         dense[cols] = vals
         if only_if_bad:
-            for b in np.flatnonzero(bound[: -(-self.n_bad // BLOCK)] >= LEAST):
-                lo, hi = b * BLOCK, min(len(self.labels), (b + 1) * BLOCK)
-                s, e = self.starts[lo], self.starts[hi]
-                cos = np.add.reduceat(dense[self.cols[s:e]] * self.vals[s:e], self.starts[lo:hi] - s)
-                if (cos[: self.n_bad - lo] >= LEAST).any():
-                    break
-            else:
+            if not self.n_bad:
+                return []
+            e = self.starts[self.n_bad]
+            if np.add.reduceat(dense[self.cols[:e]] * self.vals[:e], self.starts[: self.n_bad]).max() < LEAST:
                 return []
+        at = [(self.top_block[self.top_at[c] : self.top_at[c + 1]], self.top[self.top_at[c] : self.top_at[c + 1]] * v) for c, v in zip(cols, vals, strict=True)]
+        bound = np.bincount(np.concatenate([a for a, _ in at]), np.concatenate([b for _, b in at]), self.n_blocks)
         found: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
             worst = found[k - 1][0] if len(found) >= k else LEAST
@@ -291,7 +301,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     of = dict(zip(labelled["doc_id"].astype(int), labelled["share"], strict=True))
     for d, ts in per_doc.items():
         own = [list(t) for t in ts]
-        scores.append(max((index.score(w, without=d)[0] for w in own if index.may_be_abusive(w)), default=0.0))
+        scores.append(max((index.score(own[i], without=d)[0] for i in np.flatnonzero(index.may_be_abusive(own))), default=0.0))
         truth.append(of[d] >= 0.5)
     truth_a, scores_a = np.array(truth), np.array(scores)
     best, threshold = -1.0, 0.5
@@ -356,23 +366,24 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         ix, limit = shared.value
         fold, memory = _Folder(), {}
         for pdf in batches:
-            best: list[tuple] = []
-            for text in pdf["text"]:
-                top: tuple = (0.0, None, None, None)
+            best: list[tuple] = [(0.0, None, None, None)] * len(pdf)
+            owner: list[int] = []
+            said: list[str] = []
+            folded: list[list[str]] = []
+            for row, text in enumerate(pdf["text"]):
                 for p, words in fold.passages(text) if isinstance(text, str) else ():
-                    if "*" in p:
-                        words = [ix.known(w) for w in words]
-                    if not ix.may_be_abusive(words):
-                        continue
-                    key = " ".join(words)
-                    if key not in memory:
-                        if len(memory) > 50_000:
-                            memory.clear()
-                        memory[key] = ix.score(words)
-                    s, example, cos = memory[key]
-                    if s > top[0]:
-                        top = (s, p, ix.docs[example] if example >= 0 else None, cos)
-                best.append(top)
+                    owner.append(row)
+                    said.append(p)
+                    folded.append([ix.known(w) for w in words] if "*" in p else words)
+            for i in np.flatnonzero(ix.may_be_abusive(folded)):
+                key = " ".join(folded[i])
+                if key not in memory:
+                    if len(memory) > 50_000:
+                        memory.clear()
+                    memory[key] = ix.score(folded[i])
+                s, example, cos = memory[key]
+                if s > best[owner[i]][0]:
+                    best[owner[i]] = (s, said[i], ix.docs[example] if example >= 0 else None, cos)
             out = pdf[["doc_id", "source"]].reset_index(drop=True)
             yield out.assign(
                 score=[b[0] for b in best],

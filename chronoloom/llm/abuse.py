@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used at most (those of the smallest hash of doc_id), and characters of each: the index has a proven bound.
 MAX_LABELLED, MAX_CHARS = 20_000, 20_000
+#: Blocks read at a time, those of the highest bounds first.
+TOGETHER = 32
 #: Harmless passages without any unusual word that are kept as examples at most (those of the smallest hash); all others stay.
 MAX_PLAIN = 4_000
 #: Nearest examples that vote, and the least cosine of an example that may vote.
@@ -112,7 +114,7 @@ class ExampleIndex:
         # abusive examples first, so that blocks are of one kind; then by their rarest words
         heavy = [sorted(set(t), key=lambda w: (-idf.get(w, rare), w))[:3] for t in tokens]
         order = np.array(sorted(range(len(tokens)), key=lambda i: (-labels[i], heavy[i])), int)
-        self.labels, self.weights, self.docs = labels[order], weights[order], [docs[i] for i in order]
+        self.labels, self.weights, self.docs = np.asarray(labels, float)[order], np.asarray(weights, float)[order], [docs[i] for i in order]
         cols, vals, starts = [], [], [0]
         for i in order:
             c = Counter(tokens[i])
@@ -221,16 +223,22 @@ class ExampleIndex:
         at = [(self.top_block[self.top_at[c] : self.top_at[c + 1]], self.top[self.top_at[c] : self.top_at[c + 1]] * v) for c, v in zip(cols, vals, strict=True)]
         bound = np.bincount(np.concatenate([a for a, _ in at]), np.concatenate([b for _, b in at]), self.n_blocks)
         found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
+        order = np.argsort(-bound, kind="stable")
+        for at_ in range(0, len(order), TOGETHER):
             worst = found[k - 1][0] if len(found) >= k else LEAST
-            if bound[b] < worst - 1e-12 or bound[b] < LEAST:
+            blocks = order[at_ : at_ + TOGETHER]
+            blocks = blocks[bound[blocks] >= worst - 1e-12]
+            if not len(blocks):
                 break
-            lo, hi = b * BLOCK, min(len(self.labels), (b + 1) * BLOCK)
-            s, e = self.starts[lo], self.starts[hi]
-            cos = np.add.reduceat(dense[self.cols[s:e]] * self.vals[s:e], self.starts[lo:hi] - s)
+            rows = (np.sort(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[rows < len(self.labels)]
+            size = self.starts[rows + 1] - self.starts[rows]
+            first = np.cumsum(size) - size
+            cells = np.arange(int(size.sum())) + np.repeat(self.starts[rows] - first, size)
+            cos = np.add.reduceat(dense[self.cols[cells]] * self.vals[cells], first)
             for i in np.flatnonzero(cos >= worst - 1e-12):
-                if without is None or self.docs[lo + i] != without:
-                    found.append((float(cos[i]), int(lo + i)))
+                if without is None or self.docs[rows[i]] != without:
+                    found.append((float(cos[i]), int(rows[i])))
             found.sort(key=lambda x: (-x[0], x[1]))
             del found[k:]
         return found
@@ -266,14 +274,14 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
                 rows[(int(doc), tuple(words))] = float(share)
     docs = [d for d, _ in rows]
     tokens = [t for _, t in rows]
-    share = np.array(list(rows.values()))
+    share = np.array(list(rows.values()), float)
     usual = {w for w in {w for t in tokens for w in t} if idf.get(w, rare) < 0.6 * rare}
-    unusual = np.array([any(w not in usual for w in t) for t in tokens])
+    unusual = np.array([any(w not in usual for w in t) for t in tokens], bool)
     rest: dict[tuple[str, ...], int] = {}
     for i in np.flatnonzero(~unusual):
         rest.setdefault(tokens[i], int(i))
     kept = set(sorted(rest.values(), key=lambda i: zlib.crc32(" ".join(tokens[i]).encode()))[:MAX_PLAIN])
-    used = np.array([bool(unusual[i]) or i in kept for i in range(len(tokens))])
+    used = np.array([bool(unusual[i]) or i in kept for i in range(len(tokens))], bool)
 
     def once(which: np.ndarray, label: np.ndarray) -> ExampleIndex:
         seen: dict[tuple[str, ...], list[int]] = {}
@@ -283,7 +291,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         return ExampleIndex([tokens[i] for i in firsts], np.array([float(np.mean(label[v])) for v in seen.values()]), np.array([len(v) for v in seen.values()], float), [docs[i] for i in firsts], idf, rare)
 
     # raters err: what an unusual passage is, the documents of passages like it tell better than its own alone
-    strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in usual) for t in tokens])
+    strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in usual) for t in tokens], float)
     suspects = np.flatnonzero(strange >= 1.2 * rare)
     label = np.zeros(len(tokens))
     if len(suspects):

@@ -3,7 +3,7 @@
 Items are spread over shards by hash. In a shard, every container takes the longest item left and then the combination of other
 items that fills it best: a subset-sum table over the available lengths, kept as the bits of one integer, says which fills can
 be reached, and the steps that reached the best are walked back. The chosen items are removed and the next container begins.
-What a shard cannot fill well is packed once more, over fewer shards, until one is left.
+What a shard cannot fill well is packed once more, over fewer shards, for as long as that at least halves it.
 """
 
 from __future__ import annotations
@@ -122,11 +122,13 @@ def pack_items(items: DataFrame, budgets: DataFrame) -> DataFrame:
     pieces = materialize(split_items(once, budgets), "pieces")
     # a piece as large as its container is one already
     full = pieces.where("size = capacity").select("budget_name", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "capacity", F.col("size").alias("fill"), "doc_id", "piece", "size")
-    out, left, number = [full], pieces.where("size < capacity"), 0
+    out, left, number, before = [full], pieces.where("size < capacity"), 0, 0
     while True:
         n = {r["budget_name"]: r["n"] for r in left.groupBy("budget_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         shards = {name: max(1, -(-k // SHARD)) for name, k in n.items()}
-        last = all(k == 1 for k in shards.values()) or number >= 6
+        # where packing again no longer helps (items that don't fit together), a round's containers stay as they are
+        last = all(k == 1 for k in shards.values()) or 2 * sum(n.values()) > before > 0
+        before = sum(n.values())
         placed = materialize(_round(left, shards, number, last), "placed")
         out.append(placed.where("done").select(*full.columns))
         if last:

@@ -13,6 +13,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "graph_nodes"))
 
 
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy search on the graph for a fiftieth of the usable vectors as queries, against all others."""
+    g = neighbours.VectorGraph(neighbours.stored_vectors(table(spark, d, "graph_nodes")), neighbours.DIMS, 0.8)
+    ids = g.members()
+    asked = ids.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0).select(F.concat_ws("/", "field", "id").alias("q"), "cid")
+    hits = g.search(asked, 5).join(ids.withColumnRenamed("cid", "v"), "v")
+    return hits.select("q", "id", F.round(F.col("s").cast("double"), 4).alias("similarity"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return credentials.stored_texts(table(spark, d, "hook_events"), table(spark, d, "graph_nodes"))
 
@@ -79,5 +88,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_groups, p5_found, p5_masked, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_groups, p5_found, p5_masked, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents used at most (those of the smallest hash of doc_id), and characters of each: the index has a proven bound.
-MAX_LABELLED, MAX_CHARS = 20_000, 20_000
+#: Labelled documents used at most (those of the smallest hash of doc_id), whole, and characters of all of them together: the
+#: index has a proven bound.
+MAX_LABELLED, MAX_CHARS = 20_000, 100_000_000
 #: Blocks read at a time, those of the highest bounds first.
 TOGETHER = 32
 #: Harmless passages without any unusual word that are kept as examples at most (those of the smallest hash); all others stay.
@@ -32,6 +33,8 @@ MAX_PLAIN = 4_000
 NEAREST, LEAST = 7, 0.35
 #: Examples per block of the index; examples with the same heaviest words stand together.
 BLOCK = 16
+#: A word in more than this share of all passages is usual.
+USUAL = 4e-4
 #: Nearest unusual passages of other documents that are asked whether a passage of a labelled document is abusive.
 OPINIONS = 15
 
@@ -275,7 +278,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     docs = [d for d, _ in rows]
     tokens = [t for _, t in rows]
     share = np.array(list(rows.values()), float)
-    usual = {w for w in {w for t in tokens for w in t} if idf.get(w, rare) < 0.6 * rare}
+    usual = {w for w in {w for t in tokens for w in t} if df_counts.get(w, 0) > max(2.0, USUAL * n_passages)}
     unusual = np.array([any(w not in usual for w in t) for t in tokens], bool)
     rest: dict[tuple[str, ...], int] = {}
     for i in np.flatnonzero(~unusual):
@@ -311,7 +314,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         own = [list(t) for t in ts]
         scores.append(max((index.score(own[i], without=d)[0] for i in np.flatnonzero(index.may_be_abusive(own))), default=0.0))
         truth.append(of[d] >= 0.5)
-    truth_a, scores_a = np.array(truth), np.array(scores)
+    truth_a, scores_a = np.array(truth, bool), np.array(scores, float)
     best, threshold = -1.0, 0.5
     for t in np.arange(0.3, 0.71, 0.05):
         hit = scores_a >= t
@@ -348,10 +351,14 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, share): labelled documents with the share of raters who called them abusive; at most MAX_LABELLED."""
+    """(doc_id, text, share): labelled documents, whole, with the share of raters who called them abusive: at most MAX_LABELLED, and as many
+    of these as have MAX_CHARS characters together."""
     votes = labels.where("abusive is not null").groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
-    some = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return documents.select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text")).where("text is not null").join(some, "doc_id").dropDuplicates(["doc_id"])
+    texts = documents.select("doc_id", "text").where("text is not null").join(votes, "doc_id").dropDuplicates(["doc_id"])
+    some = texts.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(MAX_LABELLED)
+    # the running sum is over these few rows only
+    upto = F.sum(F.length("text").cast("long")).over(Window.orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", "share")
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -362,7 +369,7 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     every score is 0. A document delivered twice gives two rows. Other columns are ignored.
     """
     spark = documents.sparkSession
-    labelled = labelled_texts(documents, labels).toPandas()  # bounded by MAX_LABELLED documents of MAX_CHARS
+    labelled = labelled_texts(documents, labels).toPandas()  # bounded by MAX_LABELLED and MAX_CHARS
     folder = _Folder()
     vocabulary = sorted({w for t in labelled["text"] for _, words in folder.passages(t) for w in words} | {""})
     wanted = spark.createDataFrame([(w,) for w in vocabulary], "word string")

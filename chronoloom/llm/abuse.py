@@ -354,8 +354,8 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, share): labelled documents, whole, with the share of raters who called them abusive: at most MAX_LABELLED, and as many
     of these as have MAX_CHARS characters together."""
     votes = labels.where("abusive is not null").groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
-    texts = documents.select("doc_id", "text").where("text is not null").join(votes, "doc_id").dropDuplicates(["doc_id"])
-    some = texts.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(MAX_LABELLED)
+    few = votes.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(MAX_LABELLED)
+    some = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     # the running sum is over these few rows only
     upto = F.sum(F.length("text").cast("long")).over(Window.orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return some.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", "share")

@@ -339,7 +339,8 @@ def abuse_tables(spark, n=300):
     return d, spark.createDataFrame(votes, "doc_id long, rater string, abusive int"), truth | {9003}
 
 
-def test_abuse_scores(spark):
+def test_abuse_scores(spark, monkeypatch):
+    monkeypatch.setattr(abuse, "USUAL", 0.06)  # words of abuse are far more frequent here than in a corpus
     d, votes, truth = abuse_tables(spark)
     out = abuse.abuse_scores(d, votes)
     rows = out.collect()

@@ -71,11 +71,12 @@ def symbols(files: DataFrame) -> DataFrame:
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGE.items() for x in kv])[ending]
     rows = files.where("text is not null").withColumn("language", language).where("language is not null")
-    found = [
-        F.when(F.col("language") == lang, F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1))), lambda x, c=c: F.struct(F.lit(c).alias("category"), x.alias("name"))))
-        for lang, rules in SYMBOLS.items()
-        for c, p in rules.items()
-    ]
+
+    def named(category: str, pattern: str):
+        names = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+        return F.transform(names, lambda x: F.struct(F.lit(category).alias("category"), x.alias("name")))
+
+    found = [F.when(F.col("language") == lang, named(c, p)) for lang, rules in SYMBOLS.items() for c, p in rules.items()]
     empty = F.array().cast("array<struct<category:string,name:string>>")
     return rows.select("id", "language", F.inline(F.concat(*[F.coalesce(f, empty) for f in found])))
 

@@ -181,7 +181,7 @@ def html_text(c: Column) -> Column:
     """Readable text of HTML: scripts and styles out, block ends as line breaks, tags out, the common entities decoded."""
     for a, b in (
         (r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>", "\n"), (r"<[^>]+>", ""),
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"),
+        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t]+", " "), (r"\s*\n\s*", "\n"), (r"^\s+|\s+$", ""),
     ):
         c = F.regexp_replace(c, a, b)
-    return F.trim(c)
+    return c

@@ -99,24 +99,26 @@ THROTTLED = "session_id string, tool_name string, event_id long, n long, mode st
 
 
 def stream_throttle(events: DataFrame, normal: int = 3, reduced: int = 8) -> DataFrame:
-    """Each call with its number in (session, tool) and mode, from state kept per key; the state of a key idle for a day ends."""
+    """Each call with its number in (session, tool) and mode, from state kept per key; the state of a key ends when event time has moved a
+    day past its last call."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n = state.get[0] if state.exists else 0
+        n, last = (state.get[0], 0) if state.exists else (0, 0)
         for pdf in batches:
             pdf = pdf.sort_values(["at", "event_id"])
             k = n + pd.RangeIndex(1, len(pdf) + 1).to_numpy()
             n += len(pdf)
+            last = max(last, int(pdf["at"].iloc[-1].timestamp() * 1000))
             mode = ["normal" if i <= normal else "reduced" if i <= reduced else "blocked" for i in k]
             yield pd.DataFrame({"session_id": key[0], "tool_name": key[1], "event_id": pdf["event_id"].to_numpy(), "n": k, "mode": mode})
         state.update((n,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
 
     calls = events.where("session_id is not null and tool_name is not null").dropDuplicatesWithinWatermark(["event_id"]).select("session_id", "tool_name", "event_id", "at")
-    return calls.groupBy("session_id", "tool_name").applyInPandasWithState(step, THROTTLED, "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("session_id", "tool_name").applyInPandasWithState(step, THROTTLED, "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import array_jaccard, injection_score, normal_name, word_jaccard
+from chronoloom.functions.text import array_jaccard, injection_score, word_jaccard, word_set
 from chronoloom.operators.bitemporal import DAY, is_active
 from chronoloom.operators.relational import top_k
+from chronoloom.session import materialize
 
 # Half-lives in days of importance and of confidence (with its multiplier), by type or tier.
 IMPORTANCE_HALF_LIFE = {"Decision": 90.0, "Convention": 60.0, "Bug": 45.0, "Solution": 45.0}
 CONFIDENCE_DECAY = {"Decision": (14.0, 1.0), "Convention": (21.0, 1.0), "Bug": (7.0, 1.5), "Solution": (7.0, 1.5), "Concept": (14.0, 1.0)}
 USER_DECAY, EXTERNAL_DECAY = (30.0, 0.5), (7.0, 3.0)
+#: Contents with one leading word that are compared in one block; more are cut into blocks, and each two blocks meet once.
+BLOCK = 2000
+#: Longs of the bitmap of a content's words.
+BITMAP = 4
 EXAMINATION = {0: 1.0, 1: 0.85, 2: 0.7, 3: 0.55, 4: 0.4, 5: 0.25}
 
 
@@ -143,20 +150,45 @@ def changed_files(files: DataFrame, cache: DataFrame, most: int = 200) -> DataFr
 # ---- duplicates, conflicts, sync ----------------------------------------------------------------------------------
 
 
-def name_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, type, similarity, verdict): active nodes of one type that share a word of their name, by word similarity of their content:
-    above 0.92 merged, above 0.5 related, else different. The equi-join on (type, name word) is the block of the self-join."""
-    n = nodes.where(is_active()).select("id", "type", "content", F.array_distinct(F.filter(F.split(normal_name(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")), "[ _-]+"), lambda x: F.length(x) > 2)).alias("w"))
-    words = n.select("id", "type", F.explode("w").alias("x"))
-    # a word in very many names is no evidence: pairs must share their rarest word's block
-    count = words.groupBy("type", "x").agg(F.count(F.lit(1)).alias("c"))
-    rare = words.join(count, ["type", "x"]).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("c", "x"))).where("r = 1").select("id", "type", "x")
-    ids = rare.select(F.col("id").alias("a"), "type", "x").join(words.select(F.col("id").alias("b"), "type", "x"), ["type", "x"]).where("a <> b")
-    ids = ids.select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    body = n.select("id", "content")
-    rows = ids.join(body.withColumnsRenamed({"id": "a", "content": "x"}), "a").join(body.withColumnsRenamed({"id": "b", "content": "y"}), "b")
-    s = word_jaccard(F.col("x"), F.col("y"))
-    return rows.select("a", "b", "type", F.round(s, 6).alias("similarity"), F.when(s > 0.92, "merged").when(s > 0.5, "related").otherwise("different").alias("verdict"))
+def content_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, type, similarity, verdict): pairs of active nodes of one type by word similarity of their content: above 0.92 merged, above
+    0.5 related. Every other pair of a type is different and has no row; so are contents without words. Names play no part.
+
+    Nothing is lost: with the words of each content in one order, rarest first, two contents more than half alike share a word within
+    the first half of both (rounded up), and differ in less than a third of their words, which bitmaps of the words show from below.
+    Equal word sets are one class; a word of many classes is compared in pairs of blocks.
+    """
+    n = nodes.where(is_active()).select("id", "type", F.array_sort(word_set(F.col("content"))).alias("w")).where("size(w) > 0")
+    # a class of m ids gives m * (m - 1) / 2 pairs, so that its list of ids is small beside the result
+    sets = n.groupBy("type", F.md5(F.concat_ws(" ", "w"))).agg(F.first("w").alias("w"), F.collect_list("id").alias("ids"))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("c"), "type", "w", "ids"), "sets")
+    # until the contents themselves are compared, a hash stands for a word of a type
+    words = sets.select("c", F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64("type", x))).alias("x"))
+    count = words.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # words of one content alone come first in the order and meet none: only their number matters
+    ranked = words.join(count, "x").groupBy("c", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("w"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("w"))
+    maps = [f"m{i}" for i in range(BITMAP)]
+    for i, m in enumerate(maps):
+        ranked = ranked.withColumn(m, F.expr(f"aggregate(filter(w, x -> pmod(x, {64 * BITMAP}) div 64 = {i}), 0L, (a, x) -> a | shiftleft(1L, cast(pmod(x, 64) as int)))"))
+    half = F.greatest(F.ceil(F.col("n") / 2).cast("int") - F.col("alone"), F.lit(0))
+    lead = ranked.select("c", "n", "alone", *maps, F.posexplode(F.slice("w", F.lit(1), half)).alias("i", "x")).withColumn("left", F.col("n") - F.col("alone") - F.col("i"))
+    lead = materialize(lead.drop("i"), "lead")
+    parts = lead.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x", F.ceil(F.col("k") / block).cast("int").alias("k"))
+    lead = lead.join(parts, "x").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    one, two = (lead.withColumnsRenamed({"own": p, "other": q} | {c: f"{c}_{s}" for c in ("c", "n", "alone", "left", *maps)}) for s, p, q in (("a", "p", "q"), ("b", "q", "p")))
+    both = F.col("n_a") + F.col("n_b")
+    # at the first common word, that one and what follows it in both must be enough
+    enough = 3 * F.least("left_a", "left_b") > both
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps], F.col("alone_a") + F.col("alone_b"))
+    met = one.join(two, ["x", "p", "q"]).where((F.col("c_a") < F.col("c_b")) & enough & (3 * unlike < both)).select("c_a", "c_b").distinct()
+    side = lambda s: sets.select(F.col("c").alias(f"c_{s}"), F.col("w").alias(f"w_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("type").alias(f"type_{s}"))
+    alike = met.join(side("a"), "c_a").join(side("b"), "c_b").select(F.col("type_a").alias("type"), "ids_a", "ids_b", array_jaccard(F.col("w_a"), F.col("w_b")).alias("s")).where("s > 0.5")
+    pair = lambda d: d.withColumn("i", F.explode("ids_a")).withColumn("j", F.explode("ids_b"))
+    copies = sets.where("size(ids) > 1").select("type", F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("s"))
+    rows = pair(alike).unionByName(pair(copies).where("i < j"))
+    s = F.col("s")
+    return rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "type", F.round(s, 6).alias("similarity"), F.when(s > 0.92, "merged").otherwise("related").alias("verdict"))
 
 
 def peer_verdict(name_similarity: Column, cosine: Column) -> Column:

@@ -95,7 +95,7 @@ def upkeep_file_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def upkeep_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return mt.name_pairs(nodes(spark, d))
+    return mt.content_pairs(nodes(spark, d))
 
 
 @query(f"select name as key, round(sum(importance * exp(-.01 * ({NOW} - created_at) / {DAY}.0::double)) / sum(exp(-.01 * ({NOW} - created_at) / {DAY}.0::double)), 6) as importance, max(trust_tier) as trust_tier, list_sort(list_distinct(flatten(list(tags)))) as tags from an group by name")

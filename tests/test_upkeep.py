@@ -26,3 +26,29 @@ def test_like_contents_meet_whatever_their_names(spark):
     for block in (3, 2000):
         got = [((r.a, r.b), (r.similarity, r.verdict)) for r in mt.content_pairs(spark.createDataFrame(rows, PAIR_NODE), block).collect()]
         assert len(want) > 100 and len(got) == len(want) and dict(got) == want
+
+
+EDGE_NODE = "id string, type string, package_path string, tags array<string>, t_valid_until long, archived_at long"
+
+
+def test_edges_of_all_candidates(spark):
+    """Against all pairs: Bugs and Solutions without common tags, and those without tags in a package, have their links."""
+    rng = random.Random(3)
+    kinds, packages = ["Bug", "Solution", "Decision"], [None, "p", "q"]
+    rows = [(f"n{i:03}", rng.choice(kinds), rng.choice(packages), rng.choice([None, [], rng.sample("abcdefgh", rng.randrange(1, 4))]), None, None) for i in range(90)]
+    want = set()
+    for a in rows:
+        weighed = []
+        for b in rows:
+            x, y = set(a[3] or []), set(b[3] or [])
+            o = len(x & y) / len(x | y) if x and y else 0.0
+            own, label = a[1] in ("Bug", "Solution"), {("Solution", "Bug"): "solves", ("Bug", "Solution"): "solved_by"}.get((a[1], b[1]))
+            if a is b or not (x or y) or not (x or own):
+                continue
+            plain = max(0.3 + 0.4 * o if a[2] and a[2] == b[2] else 0.0, o)
+            w = 0.35 + 0.55 * o if label else 0.0
+            weighed.append((-round(max(plain, w), 9), b[0], label if w > plain else "relates_to"))
+        want |= {(a[0], b, kind, -w) for w, b, kind in sorted(weighed)[:5] if -w >= 0.3}
+    n = spark.createDataFrame(rows, EDGE_NODE)
+    got = {tuple(r) for r in mt.infer_edges(n, n).select("from_id", "to_id", "type", "weight").collect()}
+    assert got == want and any(w == 0.35 for *_, w in want)

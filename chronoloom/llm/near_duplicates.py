@@ -2,7 +2,8 @@
 
 Order MinHash: each text gives `sketches` buckets. For each, the `length` occurrence-labelled words that come first in a
 random order are taken and hashed in the order in which they stand in the text. The random order is weighted, so that rare
-words come first more often than the words of a template (the weights come from counts over all texts). Texts that
+words come first more often than the words of a template (the weights come from counts over all texts). PLAIN further buckets
+are plain MinHash of the word set, for texts of common words that differ in rare ones. Texts that
 share a bucket and pass two lossless bounds (number of words, 64-bit map of the words) are candidates; these are verified by
 banded alignment of their words, and where the order of words leaves that open, by exact comparison of the word sets.
 
@@ -25,6 +26,9 @@ from chronoloom.session import materialize, shuffle_partitions
 SKETCHES = 24
 #: Words per bucket: two already keep order, and a pair whose parts were moved still agrees half as often.
 LENGTH = 2
+#: Buckets per text by its different words alone, all of one weight and without order, and words of each: a pair at 0.8 agrees in one
+#: with a chance of about a half. They meet pairs that differ in rare words only, or in how often words are repeated.
+PLAIN, PLAIN_LENGTH = 12, 3
 #: Texts of at least so many different words carry a map of 192 more bits: 64 are nearly all set for them.
 LONG = 20
 #: Texts with fewer different words are left out.
@@ -125,6 +129,30 @@ def order_sketches(h: np.ndarray, offsets: np.ndarray, weights: np.ndarray, leng
     return out
 
 
+def plain_sketches(h: np.ndarray, offsets: np.ndarray, length: int = PLAIN_LENGTH, sketches: int = PLAIN) -> np.ndarray:
+    """MinHash of the word sets of texts given as one flat array of word hashes: (texts, sketches) keys of the `length` least words."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    words, lens = h[once].view(np.uint64), np.bincount(owner[once], minlength=n)
+    heads = np.cumsum(lens) - lens
+    out = np.empty((n, sketches), np.int64)
+    for i in range(sketches):
+        seed = np.uint64((i + 1) * 0xD6E8FEB86659FD93 % 2**64)
+        value = _mix(words ^ seed)
+        key = np.full(n, seed, np.uint64)
+        for j in range(length):
+            least = np.minimum.reduceat(value, heads)
+            key = _mix(key * _M3 + least)
+            if j + 1 < length:
+                value[value == np.repeat(least, lens)] = np.uint64(2**64 - 1)
+        out[:, i] = key.view(np.int64)
+    return out
+
+
 def _bitmaps(h: np.ndarray, offsets: np.ndarray, n_words: np.ndarray) -> list[np.ndarray]:
     """The 64-bit map of each text's words, and the three words of the longer map (0 for short texts)."""
     x = _mix(h.view(np.uint64))
@@ -161,10 +189,11 @@ def bucket_rows(classes: DataFrame, weights: dict[str, tuple[np.ndarray, np.ndar
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
                     w[mine] = np.where(known[at] == h[mine], value[at], np.float32(1))
-            keys = _mix(order_sketches(h, offsets, w).view(np.uint64) ^ salt[:, None]).view(np.int64)
+            keys = np.concatenate([order_sketches(h, offsets, w), plain_sketches(h, offsets)], axis=1)
+            keys = _mix(keys.view(np.uint64) ^ salt[:, None]).view(np.int64)
             size = b.column("n").to_numpy()
             columns = [b.column("cid").to_numpy(), size.astype(np.int32), *_bitmaps(h, offsets, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, SKETCHES)) for c in columns]], names=ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, keys.shape[1])) for c in columns]], names=ROW)
 
     slim = classes.select("cid", F.concat_ws(".", "table_name", "field").alias("f"), "seq", F.size(F.array_distinct("seq")).alias("n"))
     return slim.mapInArrow(rows, ROW_SCHEMA)

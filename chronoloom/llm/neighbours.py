@@ -121,17 +121,20 @@ def _edge_batch(u, v, s):
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], names=["u", "v", "s"])
 
 
-def first_graph(points: DataFrame, floor: float) -> DataFrame:
-    """(u, v, s) from windows of the sorted tables: for each point its best LIST / 2 of every window, at least `floor` similar."""
+def first_graph(points: DataFrame, floor: float, asked: DataFrame | None = None) -> DataFrame:
+    """(u, v, s) from windows of the sorted tables: for each point its best LIST / 2 of every window, at least `floor` similar.
+    asked: the only points (cid) that get lists."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table):
             group, cid, m = t.column("part").to_numpy(), t.column("cid").to_numpy(), _matrix(t.column("sketch"))
-            s = m @ m.T
-            s[group[:, None] != group[None, :]] = -1
-            np.fill_diagonal(s, -1)
+            own = np.flatnonzero(t.column("asked").to_numpy())
+            s = m[own] @ m.T
+            s[group[own][:, None] != group[None, :]] = -2
+            s[np.arange(len(own)), own] = -2
             i, j = np.nonzero(s >= floor)
             w = s[i, j]
+            i = own[i]
             best = LIST // 2
             if len(i):
                 order = np.lexsort((-w, i))
@@ -153,8 +156,12 @@ def first_graph(points: DataFrame, floor: float) -> DataFrame:
             if half < rest.num_rows:
                 yield from work(rest.slice(half))
 
-    tables = points.select("field", "cid", "sketch", F.posexplode("keys").alias("t", "k"))
-    tables = tables.select(F.abs(F.xxhash64("field", "t")).alias("part"), "k", "cid", "sketch")
+    if asked is None:
+        points = points.withColumn("asked", F.lit(True))
+    else:
+        points = points.join(asked.select("cid", F.lit(True).alias("asked")).distinct(), "cid", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    tables = points.select("field", "cid", "sketch", "asked", F.posexplode("keys").alias("t", "k"))
+    tables = tables.select(F.abs(F.xxhash64("field", "t")).alias("part"), "k", "cid", "sketch", "asked")
     ordered = tables.repartitionByRange("part", "k", "cid").sortWithinPartitions("part", "k", "cid")
     return ordered.mapInArrow(windows, EDGE)
 
@@ -316,12 +323,20 @@ class VectorGraph:
         return own.select("field", F.col("id").alias("of"), F.inline("l")).select("field", F.col("of").alias("id"), F.col("id").alias("neighbour"), "cosine")
 
     def search(self, queries: DataFrame, k: int, beam: int = LIST, steps: int = 4) -> DataFrame:
-        """(q, v, s): greedy search on the graph. queries: (q, cid) says at which node's entry points each query starts; every
-        step looks at the neighbours of the beam, in sketches, and keeps the `beam` best. The search ends when no beam changes."""
+        """(q, v, s): the class of each query itself and the `beam` other classes (at least k) that greedy search on the graph finds most
+        similar, with exact cosines; nearest() cuts them to k. queries: (q, cid). A query starts from its own node and, as that may have no list, from the windows of the sorted tables where it stands;
+        every step looks at the neighbours of the beam, in sketches, and keeps the `beam` best. The search ends when no beam changes;
+        then exact cosines are taken."""
+        beam = max(beam, k) + 1  # the query's own node is walked through, but no hit
+        queries = materialize(queries.select("q", "cid").distinct(), "queries")
         graph = self.graph.select("u", "v").unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         sk = self.points.select(F.col("cid").alias("v"), F.col("sketch").alias("y"))
         mine = queries.join(self.points.select("cid", F.col("sketch").alias("x")), "cid").select("q", "x")
-        state = materialize(self.first.join(queries.select(F.col("cid").alias("u"), "q"), "u").select("q", "v", "s", F.lit(True).alias("fresh")), "beam")
+        order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
+        best = lambda d, n: d.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+        near = first_graph(self.points, -1.5, queries).groupBy("u", "v").agg(F.max("s").alias("s"))
+        start = near.join(queries.withColumnRenamed("cid", "u"), "u").select("q", "v", "s").unionByName(queries.select("q", F.col("cid").alias("v"), F.lit(2.0).cast("float").alias("s")))
+        state = materialize(best(start.withColumn("fresh", F.lit(True)), beam), "beam")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -329,16 +344,44 @@ class VectorGraph:
                     s = np.einsum("ij,ij->i", _matrix(b.column("x")), _matrix(b.column("y"))).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(s)], names=["q", "v", "s"])
 
-        order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
         for _ in range(steps):
             ahead = state.where("fresh").select("q", F.col("v").alias("u")).join(graph, "u").select("q", "v").distinct()
             ahead = ahead.join(state.select("q", "v"), ["q", "v"], "left_anti")
             scored = ahead.join(mine, "q").join(sk, "v").select("q", "v", "x", "y").mapInArrow(score, "q string, v long, s float").withColumn("fresh", F.lit(True))
-            merged = state.withColumn("fresh", F.lit(False)).unionByName(scored)
-            state = materialize(merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r"), "beam")
+            state = materialize(best(state.withColumn("fresh", F.lit(False)).unionByName(scored), beam), "beam")
             if not state.where("fresh").limit(1).count():
                 break
-        return state.select("q", "v", "s")
+        pairs = state.select("q", "v").join(queries, "q").where("v <> cid").select("q", "cid", "v")
+        own = queries.select("q", F.col("cid").alias("v"), F.lit(1.0).alias("s"))
+        return self._cosines(pairs).unionByName(own)
+
+    def _cosines(self, pairs: DataFrame) -> DataFrame:
+        """(q, v, s) with the exact cosine of the classes cid and v of each pair (q, cid, v)."""
+
+        def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fields = np.array(b.column("field").to_pylist())
+                for f in np.unique(fields):
+                    part = b.filter(pa.array(fields == f))
+                    for lo in range(0, part.num_rows, 4096):
+                        some = part.slice(lo, 4096)
+                        x, y = (unpack(some.column(c).to_pylist()) for c in ("x", "y"))
+                        yield pa.RecordBatch.from_arrays([some.column("q"), some.column("v"), pa.array(np.einsum("ij,ij->i", x, y))], names=["q", "v", "s"])
+
+        wanted = pairs.select(F.explode(F.array("cid", "v")).alias("cid")).distinct()
+        keys = materialize(self.points.select("cid", "field", "vkey").join(wanted, "cid"), "keys")
+        some = self.packed.select("field", "vkey", "packed").where(may_exist(key_filter(keys, "vkey"), "vkey"))
+        blobs = materialize(keys.join(some.dropDuplicates(["field", "vkey"]), ["field", "vkey"]).select("cid", "field", "packed"), "blobs")
+        x = blobs.withColumnRenamed("packed", "x")
+        y = blobs.select(F.col("cid").alias("v"), F.col("packed").alias("y"))
+        return pairs.join(x, "cid").join(y, "v").select("q", "v", "field", "x", "y").mapInArrow(cosines, "q string, v long, s double")
+
+    def nearest(self, queries: DataFrame, k: int) -> DataFrame:
+        """(q, id, similarity): the k vectors most similar to each query (q, cid, id) without itself (ties: smaller id), copies of it included."""
+        heads = self.members().select(F.col("cid").alias("v"), F.col("id")).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
+        rows = self.search(queries, k).join(heads, "v").join(queries.select("q", F.col("id").alias("own")), "q").where("id <> own")
+        order = Window.partitionBy("q").orderBy(F.desc("s"), "id")
+        return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "id", F.col("s").alias("similarity"))
 
 
 def stored_vectors(nodes: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def upkeep_staging(spark: SparkSession, d: str) -> DataFrame:
 @query("""select from_id, to_id, type, weight from (select a.id as from_id, b.id as to_id,
 case when a.type = 'Solution' and b.type = 'Bug' and .35 + .55 * o > greatest(case when a.package_path = b.package_path then .3 + .4 * o else 0 end, o) then 'solves' when a.type = 'Bug' and b.type = 'Solution' and .35 + .55 * o > greatest(case when a.package_path = b.package_path then .3 + .4 * o else 0 end, o) then 'solved_by' else 'relates_to' end as type,
 round(greatest(case when a.package_path = b.package_path then .3 + .4 * o else 0 end, o, case when (a.type = 'Solution' and b.type = 'Bug') or (a.type = 'Bug' and b.type = 'Solution') then .35 + .55 * o else 0 end)::double, 9) as weight
-from (select * from an where created_at > 1765000000000) a, lateral (select b.*, case when len(a.tags) = 0 or len(b.tags) = 0 then 0.0::double else len(list_intersect(a.tags, b.tags))::double / len(list_distinct(list_concat(a.tags, b.tags))) end as o from an b where b.id <> a.id) b where o > 0 or (a.package_path = b.package_path and len(a.tags) > 0))
+from (select * from an where created_at > 1765000000000) a, lateral (select b.*, case when len(a.tags) = 0 or len(b.tags) = 0 then 0.0::double else len(list_intersect(a.tags, b.tags))::double / len(list_distinct(list_concat(a.tags, b.tags))) end as o from an b where b.id <> a.id) b where (len(a.tags) > 0 or a.type in ('Bug', 'Solution')) and (len(a.tags) > 0 or len(b.tags) > 0))
 where weight >= .3 qualify row_number() over (partition by from_id order by weight desc, to_id) <= 5""")
 def upkeep_edges(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)

@@ -1,11 +1,12 @@
 """The most similar vectors of every vector: NN-descent on Spark.
 
-Every vector is reduced once to a sketch of SKETCH signed bytes (a random projection) and to its exact values in as few bytes
-as hold them without loss. A first graph comes from windows of rows sorted by random hyperplane signs. Each round of
+Every vector is reduced once to a sketch of SKETCH signed bytes (a random orthogonal projection) and to its exact values in as
+few bytes as hold them without loss. A first graph comes from windows of rows sorted by random hyperplane signs. Each round of
 NN-descent then joins neighbours of neighbours: the sketches of a node's neighbours, in both directions, are sent to the node,
 compared there, and a pair is kept where it improves the list of one of its ends; only pairs with a new neighbour are
 compared. At the end the lists are settled by exact cosines, for which vectors are sent once per block of a graph
-neighbourhood rather than once per pair. New queries are answered by greedy search on the graph.
+neighbourhood rather than once per pair, and the last round of NN-descent runs there, on the exact vectors of each node's
+neighbours. New queries are answered by greedy search on the graph.
 
 Equal vectors are one class. A class hands on its smallest K + 1 ids: no other of its members can be among anyone's K first.
 """
@@ -22,20 +23,19 @@ from pyspark.sql import functions as F
 from chronoloom.operators.orphans import key_filter, may_exist
 from chronoloom.session import discard, materialize
 
-#: Bytes of a sketch. The cosine it gives is off by about (1 - cos**2) / sqrt(SKETCH).
-SKETCH = 96
+#: Bytes of a sketch. The cosine it gives is off by at most about (1 - cos**2) / sqrt(SKETCH).
+SKETCH = 128
 #: Sorted tables for the first graph, bits of their keys, and rows compared at a time.
 TABLES, KEY_BITS, WINDOW = 8, 20, 1024
 #: Length of the neighbour lists in the graph, and neighbours of a node used per round in both directions together.
-LIST, FAN = 12, 20
+LIST, FAN = 24, 24
 #: Rounds at most, and the share of changed list entries at which to stop.
 ROUNDS, ENOUGH = 4, 0.01
-#: The graph keeps pairs whose sketches are this much less similar than what is asked for, more than three standard
-#: deviations of a sketch's error at 0.8; unlike pairs that only seem similar stay few. Exact cosines are taken within CHECK.
-SLACK, CHECK = 0.12, 0.12
-#: Pairs of a block above which it is split, and vectors up to which all of a block are compared with one another in memory.
-#: Above that, a block's own pairs alone are settled: the rounds before have joined those neighbourhoods already.
-BLOCK, WHOLE = 20_000, 2048
+#: The graph keeps pairs whose sketches are this much less similar than what is asked for, three standard deviations of a
+#: sketch's error at 0.8; unlike pairs that only seem similar stay few. Exact cosines are taken within CHECK.
+SLACK, CHECK = 0.1, 0.1
+#: Pairs of a block above which it is split; every block, whole or split, is settled in the same way.
+BLOCK = 20_000
 
 
 # ---- vectors ------------------------------------------------------------------------------------------------------
@@ -65,7 +65,11 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
 
 
 def _projection(dim: int, columns: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([dim, seed]).standard_normal((dim, columns)).astype(np.float32)
+    """Random columns, orthogonal where there are no more of them than rows: these keep cosines better than independent ones."""
+    g = np.random.default_rng([dim, seed]).standard_normal((dim, columns))
+    if columns <= dim:
+        g = np.linalg.qr(g)[0] * np.sqrt(dim)
+    return g.astype(np.float32)
 
 
 def sketches_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,21 +242,59 @@ def descend(points: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
 # ---- exact similarity ---------------------------------------------------------------------------------------------
 
 
+def _pair_cosines(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", m[i[x : x + 8192]], m[j[x : x + 8192]]) for x in range(0, len(i), 8192)] or [np.zeros(0)])
+
+
+def _joined_once(m: np.ndarray, i: np.ndarray, j: np.ndarray, cos: np.ndarray, k: int, emit: float) -> tuple[np.ndarray, np.ndarray]:
+    """New pairs x < y of rows of m, from one round of NN-descent on the pairs (i, j, cos): the FAN best neighbours of each row are compared
+    with one another, and a pair is kept where it is at least `emit` similar and betters the k + 1 best of one of the two."""
+    n = len(m)
+    u, v, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([cos, cos])
+    order = np.lexsort((-c, u))
+    u, v, c = u[order], v[order], c[order]
+    at = np.arange(len(u)) - np.searchsorted(u, u, "left")
+    least = np.full(n, emit, np.float32)
+    last = at == k
+    least[u[last]] = np.maximum(emit, c[last])
+    least -= np.float32(1e-4)  # of the single precision below
+    u, v = u[at < FAN], v[at < FAN]
+    heads = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, int)
+    single, known = m.astype(np.float32), np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+    out = [np.zeros(0, np.int64)]
+    for lo, hi in zip(heads, np.append(heads[1:], len(u)), strict=True):
+        if hi - lo > 1:
+            r = v[lo:hi]
+            s = single[r] @ single[r].T
+            x, y = np.nonzero(np.triu(s >= np.minimum(least[r][:, None], least[r][None, :]), 1))
+            if len(x):
+                out.append(np.minimum(r[x], r[y]) * n + np.maximum(r[x], r[y]))
+    new = np.setdiff1d(np.concatenate(out), known)
+    return new // max(1, n), new % max(1, n)
+
+
 def exact_pairs(graph: DataFrame, points: DataFrame, packed: DataFrame, least: float, k: int, emit: float) -> DataFrame:
     """(a, b, cosine) for the pairs of the graph whose sketches are at least `least` similar.
 
     Pairs are put into the block of the smallest node two steps around them; a block gets each vector once. Blocks of many pairs are split by a.
-    A block is a last local join, on exact vectors: beside its pairs it gives each of its vectors' k + 1 best that are at least `emit` similar.
+    Of a split block a part has the nodes a with the same smallest neighbours. In a block, beside its pairs, the neighbours of each node are
+    joined with one another once more, by their exact vectors: the last round. Only pairs at least `emit` similar come out.
     """
     near = graph.where(F.col("s") >= least).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     near = materialize(near, "near")
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y")))
     one = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l"))
     two = both.join(one.withColumnsRenamed({"x": "y"}), "y").groupBy("x").agg(F.min("l").alias("l")).join(one.withColumnRenamed("l", "l1"), "x").select(F.col("x").alias("a"), F.least("l", "l1").alias("block"))
-    pairs = near.join(two, "a")
-    sizes = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
-    pairs = pairs.join(sizes, "block", "left").withColumn("part", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / BLOCK)))).drop("k")
-    pairs = materialize(pairs.withColumn("part", F.col("part").cast("long")), "blocks")
+    pairs = near.join(two, "a").join(one.withColumnsRenamed({"x": "a", "l": "l1"}), "a")
+    pairs = materialize(pairs.withColumn("part", F.lit(0).cast("long")), "blocks")
+    sizes = materialize(pairs.groupBy("block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK), "sizes")
+    if sizes.limit(1).count():
+        # a node that many have as their smallest neighbour is split further, by a
+        big = pairs.join(sizes, "block")
+        hubs = big.groupBy("block", "l1").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > BLOCK)
+        piece = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("h") / BLOCK), F.lit(1)))
+        big = big.join(hubs, ["block", "l1"], "left").withColumn("part", F.pmod(F.xxhash64("l1", piece), F.ceil(2 * F.col("k") / BLOCK)))
+        pairs = materialize(pairs.join(sizes, "block", "left_anti").unionByName(big.select(*pairs.columns)), "blocks")
     wanted = pairs.select("block", "part", F.explode(F.array("a", "b")).alias("cid")).distinct()
     keys = materialize(points.select("cid", "field", "vkey").join(wanted.select("cid").distinct(), "cid"), "keys")
     # a bounded filter leaves out the vectors of points without any pair before they are shuffled
@@ -273,20 +315,13 @@ def exact_pairs(graph: DataFrame, points: DataFrame, packed: DataFrame, least: f
             order = np.argsort(ids)
             i = order[np.searchsorted(ids[order], a[n:])]
             j = order[np.searchsorted(ids[order], b[n:])]
-            if n <= WHOLE:
-                s = m.astype(np.float32)
-                s = s @ s.T
-                np.fill_diagonal(s, -2)
-                top = np.argpartition(-s, min(k, n - 1), axis=1)[:, : k + 1]
-                x, y = np.repeat(np.arange(n), top.shape[1]), top.ravel()
-                ok = s[x, y] >= emit - 1e-3
-                i, j = np.concatenate([i, x[ok]]), np.concatenate([j, y[ok]])
-            lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            _, once = np.unique(np.stack([lo, hi], axis=1), axis=0, return_index=True)
-            i, j = i[once], j[once]
-            cos = np.concatenate([np.einsum("ij,ij->i", m[i[x : x + 8192]], m[j[x : x + 8192]]) for x in range(0, len(i), 8192)] or [np.zeros(0)])
+            cos = _pair_cosines(m, i, j)
+            x, y = _joined_once(m, i, j, cos, k, emit)
+            lo, hi = np.concatenate([np.minimum(i, j), x]), np.concatenate([np.maximum(i, j), y])
+            cos = np.concatenate([cos, _pair_cosines(m, x, y)])
             ok = cos >= emit
-            yield pa.RecordBatch.from_arrays([pa.array(lo[once][ok]), pa.array(hi[once][ok]), pa.array(cos[ok])], names=["a", "b", "cosine"])
+            lo, hi, cos = ids[lo[ok]], ids[hi[ok]], cos[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(lo, hi)), pa.array(np.maximum(lo, hi)), pa.array(cos)], names=["a", "b", "cosine"])
 
     return rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(cosines, "a long, b long, cosine double")
 
@@ -299,7 +334,7 @@ class VectorGraph:
 
     def __init__(self, vectors: DataFrame, dims: dict[str, int], least: float) -> None:
         """least: the smallest cosine that neighbours may have; the graph isn't followed much below it."""
-        self.least = least
+        self.least, self.dims = least, dims
         self.packed = materialize(packed_vectors(vectors, dims), "packed")
         classes = self.packed.groupBy("field", "vkey").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
         self.points = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "points")
@@ -323,19 +358,30 @@ class VectorGraph:
         return own.select("field", F.col("id").alias("of"), F.inline("l")).select("field", F.col("of").alias("id"), F.col("id").alias("neighbour"), "cosine")
 
     def search(self, queries: DataFrame, k: int, beam: int = LIST, steps: int = 4) -> DataFrame:
-        """(q, v, s): the class of each query itself and the `beam` other classes (at least k) that greedy search on the graph finds most
-        similar, with exact cosines; nearest() cuts them to k. queries: (q, cid). A query starts from its own node and, as that may have no list, from the windows of the sorted tables where it stands;
-        every step looks at the neighbours of the beam, in sketches, and keeps the `beam` best. The search ends when no beam changes;
-        then exact cosines are taken."""
+        """(q, v, s): the class equal to each query, if there is one, and the `beam` other classes (at least k) that greedy search on the graph
+        finds most similar, with exact cosines; nearest() cuts them to k. queries: (q, cid) for vectors of the collection, or (q, field,
+        vector) for any others, each q once; unusable ones have no hits. A query starts from its own node and, as that may have no list, from
+        the windows of the sorted tables where it stands; every step looks at the neighbours of the beam, in sketches, and keeps the
+        `beam` best. The search ends when no beam changes; then exact cosines are taken."""
         beam = max(beam, k) + 1  # the query's own node is walked through, but no hit
-        queries = materialize(queries.select("q", "cid").distinct(), "queries")
+        points, packed = self.points, self.packed
+        if "cid" in queries.columns:
+            queries = materialize(queries.select("q", "cid").distinct(), "queries")
+            own = queries.select("q", F.col("cid").alias("v"))
+        else:
+            guests = packed_vectors(queries.select("field", F.col("q").alias("id"), "vector"), self.dims).withColumn("cid", -1 - F.monotonically_increasing_id())
+            guests = materialize(guests, "guests")
+            points, packed = points.unionByName(guests.select(*points.columns)), packed.unionByName(guests.select(*packed.columns))
+            queries = guests.select(F.col("id").alias("q"), "cid")
+            own = guests.select(F.col("id").alias("q"), "field", "vkey").join(self.points.select("field", "vkey", F.col("cid").alias("v")), ["field", "vkey"]).select("q", "v")
         graph = self.graph.select("u", "v").unionByName(self.graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         sk = self.points.select(F.col("cid").alias("v"), F.col("sketch").alias("y"))
-        mine = queries.join(self.points.select("cid", F.col("sketch").alias("x")), "cid").select("q", "x")
+        mine = queries.join(points.select("cid", F.col("sketch").alias("x")), "cid").select("q", "x")
         order = Window.partitionBy("q").orderBy(F.desc("s"), "v")
         best = lambda d, n: d.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
-        near = first_graph(self.points, -1.5, queries).groupBy("u", "v").agg(F.max("s").alias("s"))
-        start = near.join(queries.withColumnRenamed("cid", "u"), "u").select("q", "v", "s").unionByName(queries.select("q", F.col("cid").alias("v"), F.lit(2.0).cast("float").alias("s")))
+        near = first_graph(points, -1.5, queries).where("v >= 0").groupBy("u", "v").agg(F.max("s").alias("s"))
+        start = near.join(queries.withColumnRenamed("cid", "u"), "u").join(own, ["q", "v"], "left_anti").select("q", "v", "s")
+        start = start.unionByName(own.withColumn("s", F.lit(2.0).cast("float")))
         state = materialize(best(start.withColumn("fresh", F.lit(True)), beam), "beam")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,11 +397,10 @@ class VectorGraph:
             state = materialize(best(state.withColumn("fresh", F.lit(False)).unionByName(scored), beam), "beam")
             if not state.where("fresh").limit(1).count():
                 break
-        pairs = state.select("q", "v").join(queries, "q").where("v <> cid").select("q", "cid", "v")
-        own = queries.select("q", F.col("cid").alias("v"), F.lit(1.0).alias("s"))
-        return self._cosines(pairs).unionByName(own)
+        pairs = state.select("q", "v").join(own, ["q", "v"], "left_anti").join(queries, "q").select("q", "cid", "v")
+        return self._cosines(pairs, points, packed).unionByName(own.withColumn("s", F.lit(1.0)))
 
-    def _cosines(self, pairs: DataFrame) -> DataFrame:
+    def _cosines(self, pairs: DataFrame, points: DataFrame, packed: DataFrame) -> DataFrame:
         """(q, v, s) with the exact cosine of the classes cid and v of each pair (q, cid, v)."""
 
         def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,17 +414,18 @@ class VectorGraph:
                         yield pa.RecordBatch.from_arrays([some.column("q"), some.column("v"), pa.array(np.einsum("ij,ij->i", x, y))], names=["q", "v", "s"])
 
         wanted = pairs.select(F.explode(F.array("cid", "v")).alias("cid")).distinct()
-        keys = materialize(self.points.select("cid", "field", "vkey").join(wanted, "cid"), "keys")
-        some = self.packed.select("field", "vkey", "packed").where(may_exist(key_filter(keys, "vkey"), "vkey"))
+        keys = materialize(points.select("cid", "field", "vkey").join(wanted, "cid"), "keys")
+        some = packed.select("field", "vkey", "packed").where(may_exist(key_filter(keys, "vkey"), "vkey"))
         blobs = materialize(keys.join(some.dropDuplicates(["field", "vkey"]), ["field", "vkey"]).select("cid", "field", "packed"), "blobs")
         x = blobs.withColumnRenamed("packed", "x")
         y = blobs.select(F.col("cid").alias("v"), F.col("packed").alias("y"))
         return pairs.join(x, "cid").join(y, "v").select("q", "v", "field", "x", "y").mapInArrow(cosines, "q string, v long, s double")
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
-        """(q, id, similarity): the k vectors most similar to each query (q, cid, id) without itself (ties: smaller id), copies of it included."""
+        """(q, id, similarity): the k vectors most similar to each query, copies of it included (ties: smaller id). queries as for
+        search(), with the id of the query's own row, which is no hit; null for none."""
         heads = self.members().select(F.col("cid").alias("v"), F.col("id")).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
-        rows = self.search(queries, k).join(heads, "v").join(queries.select("q", F.col("id").alias("own")), "q").where("id <> own")
+        rows = self.search(queries, k).join(heads, "v").join(queries.select("q", F.col("id").alias("own")), "q").where("own is null or id <> own")
         order = Window.partitionBy("q").orderBy(F.desc("s"), "id")
         return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "id", F.col("s").alias("similarity"))
 

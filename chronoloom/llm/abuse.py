@@ -22,21 +22,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.session import materialize
+
 #: Labelled documents used at most (those of the smallest hash of doc_id), whole, and characters of all of them together: the
 #: index has a proven bound.
 MAX_LABELLED, MAX_CHARS = 20_000, 100_000_000
 #: Blocks read at a time, those of the highest bounds first.
 TOGETHER = 32
-#: Harmless passages without any unusual word that are kept as examples at most (those of the smallest hash); all others stay.
-MAX_PLAIN = 4_000
+#: Harmless passages without any telling word that are kept as examples at most (those of the smallest hash); all others stay.
+MAX_PLAIN = 20_000
 #: Nearest examples that vote, and the least cosine of an example that may vote.
 NEAREST, LEAST = 7, 0.35
 #: Examples per block of the index; examples with the same heaviest words stand together.
 BLOCK = 16
-#: A word in more than this share of all passages is usual.
-USUAL = 4e-4
-#: Nearest unusual passages of other documents that are asked whether a passage of a labelled document is abusive.
-OPINIONS = 15
+#: A word is telling if its rate in passages of labelled documents called abusive is this many times that in the others' passages, among
+#: which so many from all documents are mixed.
+TELLING, MIXED = 3.0, 1000
+#: Nearest passages of other documents with telling words that are asked whether a passage of a labelled document is abusive, and how
+#: much they must weigh together, in squared cosines, to decide it.
+OPINIONS, ENOUGH = 15, 0.25
+#: Passages times blocks of the index that are bounded at a time.
+CELLS = 4_000_000
 
 # Letters of other scripts and signs that stand in for Latin letters. i, l, 1, ! and | fold to one letter.
 _LOOKALIKES = {
@@ -155,12 +161,10 @@ class ExampleIndex:
             lead.update(k[o][: int(np.argmax(after < LEAST * LEAST)) + 1].tolist())
         self.lead = frozenset(vocabulary[i] for i in lead)
         self.bad_word = {w: float(self.bad[i] * self.idf[i]) for w, i in self.ids.items() if self.bad[i] > 0}
-        # the part of the block maxima that abusive examples have, as a table for many passages at once
-        blocks = -(-n_bad // BLOCK)
-        self.bad_top = np.zeros((len(vocabulary), blocks), np.float32)
-        mine = self.top_block < blocks
+        # the blocks of abusive examples come first in each word's list: how many these are
+        self.bad_blocks = -(-n_bad // BLOCK)
         word = np.repeat(np.arange(len(vocabulary)), np.diff(self.top_at))
-        self.bad_top[word[mine], self.top_block[mine]] = self.top[mine]
+        self.bad_size = np.bincount(word[self.top_block < self.bad_blocks], minlength=len(vocabulary))
         self.wild: dict[str, str] = {}
 
     def known(self, w: str) -> str:
@@ -174,7 +178,7 @@ class ExampleIndex:
         return self.wild[w]
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and unit weights of the known words. The length counts unknown words too, at the weight of the rarest word."""
+        """Columns and unit weights of the known words. The length counts words of no example too, all at half the weight of the rarest word."""
         c = Counter(words)
         cols = np.array([self.ids[w] for w in c if w in self.ids], np.int32)
         v = (1 + np.log(np.array([c[w] for w in c if w in self.ids], float))) * self.idf[cols] if len(cols) else np.zeros(0)
@@ -188,8 +192,9 @@ class ExampleIndex:
         out = np.zeros(len(passages_), bool)
         some = [i for i, w in enumerate(passages_) if not self.lead.isdisjoint(w)]
         get, unknown = self.ids.get, (0.5 * self.rare) ** 2
-        for lo in range(0, len(some), 20_000):
-            part = some[lo : lo + 20_000]
+        step = max(1, min(20_000, CELLS // max(1, self.bad_blocks)))
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
             cols: list[int] = []
             starts, strange, often = [], [], []
             for i in part:
@@ -202,11 +207,17 @@ class ExampleIndex:
                 often.append(len(words) - len(once))
             c = np.array(cols, np.int64)
             q = self.idf[c]
-            norm = np.sqrt(np.add.reduceat(q * q, starts) + unknown * np.array(strange))
-            bound = np.add.reduceat(self.bad_top[c] * q.astype(np.float32)[:, None], starts, axis=0).max(axis=1)
             # a word said n times weighs 1 + log n times as much
-            bound = bound * (1 + np.log1p(np.array(often)))
-            out[np.array(part)] = bound >= LEAST * norm * (1 - 1e-5)
+            need = LEAST * np.sqrt(np.add.reduceat(q * q, starts) + unknown * np.array(strange)) * (1 - 1e-9) / (1 + np.log1p(np.array(often)))
+            owner = np.repeat(np.arange(len(part)), np.diff([*starts, len(cols)]))
+            # the largest weights in any abusive example first, then those of each block
+            open_ = np.add.reduceat(self.bad[c] * q, starts) >= need
+            c, q, owner = c[open_[owner]], q[open_[owner]], owner[open_[owner]]
+            size = self.bad_size[c]
+            at = np.repeat(self.top_at[c] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            bound = np.bincount(np.repeat(owner, size) * self.bad_blocks + self.top_block[at], self.top[at] * np.repeat(q, size), len(part) * self.bad_blocks)
+            if len(bound):
+                out[np.array(part)] = open_ & (bound.reshape(len(part), -1).max(axis=1) >= need)
         return out
 
     def nearest(self, words: list[str], k: int = NEAREST, without: int | None = None, only_if_bad: bool = False) -> list[tuple[float, int]]:
@@ -217,16 +228,21 @@ class ExampleIndex:
             return []
         dense = np.zeros(len(self.idf))
         dense[cols] = vals
-        if only_if_bad:
-            if not self.n_bad:
-                return []
-            e = self.starts[self.n_bad]
-            if np.add.reduceat(dense[self.cols[:e]] * self.vals[:e], self.starts[: self.n_bad]).max() < LEAST:
-                return []
-        at = [(self.top_block[self.top_at[c] : self.top_at[c + 1]], self.top[self.top_at[c] : self.top_at[c + 1]] * v) for c, v in zip(cols, vals, strict=True)]
-        bound = np.bincount(np.concatenate([a for a, _ in at]), np.concatenate([b for _, b in at]), self.n_blocks)
+        if only_if_bad and not self._search(dense, self._bounds(cols, vals, self.bad_size[cols], self.bad_blocks), 1, None, self.n_bad):
+            return []
+        return self._search(dense, self._bounds(cols, vals, self.top_at[cols + 1] - self.top_at[cols], self.n_blocks), k, without, len(self.labels))
+
+    def _bounds(self, cols: np.ndarray, vals: np.ndarray, size: np.ndarray, n_blocks: int) -> np.ndarray:
+        """For each of the first blocks the most that the cosine of one of its examples can be; size: blocks to read in each word's list."""
+        at = np.repeat(self.top_at[cols] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.bincount(self.top_block[at], self.top[at] * np.repeat(vals, size), n_blocks)
+
+    def _search(self, dense: np.ndarray, bound: np.ndarray, k: int, without: int | None, n: int) -> list[tuple[float, int]]:
+        """The k nearest of the first n examples, whose blocks have these bounds: those of the highest bounds are read first, and only as
+        long as their bounds reach the k-th nearest."""
         found: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
+        some = np.flatnonzero(bound >= LEAST - 1e-12)
+        order = some[np.argsort(-bound[some], kind="stable")]
         for at_ in range(0, len(order), TOGETHER):
             worst = found[k - 1][0] if len(found) >= k else LEAST
             blocks = order[at_ : at_ + TOGETHER]
@@ -234,7 +250,7 @@ class ExampleIndex:
             if not len(blocks):
                 break
             rows = (np.sort(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.labels)]
+            rows = rows[rows < n]
             size = self.starts[rows + 1] - self.starts[rows]
             first = np.cumsum(size) - size
             cells = np.arange(int(size.sum())) + np.repeat(self.starts[rows] - first, size)
@@ -260,12 +276,38 @@ class ExampleIndex:
         return (votes / (total + 0.02) if total else 0.0), best, cosine
 
 
-def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: int) -> tuple[ExampleIndex, float]:
-    """The index of labelled (doc_id, text, share of raters who said abusive), and the decision threshold.
-
-    An unusual passage is an example of abuse if its document and those of the passages like it were mostly called so; all other
-    passages are examples of harmless text. The threshold is the one of
-    the best F1 on the labelled documents, each scored without its own passages.
+def telling_words(tokens: list[tuple[str, ...]], share: np.ndarray, df_counts: dict[str, int], n_passages: int) -> frozenset[str]:
+    """The words that passages of documents called abusive have TELLING times as often as others."""
+    bad, fine = Counter(), Counter()
+    for t, x in zip(tokens, share, strict=True):
+        (bad if x >= 0.5 else fine).update(set(t))
+    n_bad = int((share >= 0.5).sum())
+    n_fine = len(tokens) - n_bad + MIXED
+    return frozenset(w for w, n in bad.items() if n * n_fine >= TELLING * n_bad * (fine[w] + MIXED * df_counts.get(w, 0) / max(1, n_passages)))
+
+
+def calibration(scores: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, shares) of a rising line that gives the share of raters who call a document of a score abusive: means of
+    neighbouring scores are pooled until they rise."""
+    order = np.argsort(scores, kind="stable")
+    pools: list[list[float]] = []
+    for x, y in zip(scores[order], shares[order], strict=True):
+        pools.append([float(x), float(y), 1.0])
+        while len(pools) > 1 and (pools[-2][1] >= pools[-1][1] or pools[-2][0] == pools[-1][0]):
+            x1, y1, n1 = pools.pop()
+            x0, y0, n0 = pools.pop()
+            pools.append([(x0 * n0 + x1 * n1) / (n0 + n1), (y0 * n0 + y1 * n1) / (n0 + n1), n0 + n1])
+    return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
+
+
+def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: int) -> tuple[ExampleIndex, float, tuple[np.ndarray, np.ndarray]]:
+    """The index of labelled (doc_id, text, share of raters who said abusive, n_raters), the decision threshold, and the calibration of scores.
+
+    What is telling comes from the labels alone. A passage with a telling word is an example of abuse if its document and those of the
+    passages like it were mostly called so; where no passage is like it, if its telling words are together rarer than any one word can be,
+    or weigh the most in a document that several raters called abusive. Other passages with telling words in documents called abusive are doubtful and no
+    examples at all; all the rest are examples of harmless text. The threshold is the one of the best F1 on the labelled documents, each
+    scored without its own passages.
     """
     folder = _Folder()
     idf = {w: float(np.log((n_passages + 1) / (n + 0.5))) for w, n in df_counts.items()}
@@ -278,13 +320,11 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     docs = [d for d, _ in rows]
     tokens = [t for _, t in rows]
     share = np.array(list(rows.values()), float)
-    usual = {w for w in {w for t in tokens for w in t} if df_counts.get(w, 0) > max(2.0, USUAL * n_passages)}
-    unusual = np.array([any(w not in usual for w in t) for t in tokens], bool)
-    rest: dict[tuple[str, ...], int] = {}
-    for i in np.flatnonzero(~unusual):
-        rest.setdefault(tokens[i], int(i))
-    kept = set(sorted(rest.values(), key=lambda i: zlib.crc32(" ".join(tokens[i]).encode()))[:MAX_PLAIN])
-    used = np.array([bool(unusual[i]) or i in kept for i in range(len(tokens))], bool)
+    per_doc: dict[int, list[int]] = {}
+    for i, d in enumerate(docs):
+        per_doc.setdefault(d, []).append(i)
+    telling = telling_words(tokens, share, df_counts, n_passages)
+    weight = np.array([sum(idf.get(w, rare) for w in telling.intersection(t)) for t in tokens], float)
 
     def once(which: np.ndarray, label: np.ndarray) -> ExampleIndex:
         seen: dict[tuple[str, ...], list[int]] = {}
@@ -293,92 +333,92 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
         firsts = [v[0] for v in seen.values()]
         return ExampleIndex([tokens[i] for i in firsts], np.array([float(np.mean(label[v])) for v in seen.values()]), np.array([len(v) for v in seen.values()], float), [docs[i] for i in firsts], idf, rare)
 
-    # raters err: what an unusual passage is, the documents of passages like it tell better than its own alone
-    strange = np.array([sum(idf.get(w, rare) for w in set(t) if w not in usual) for t in tokens], float)
-    suspects = np.flatnonzero(strange >= 1.2 * rare)
+    # raters err: what a passage is, the documents of passages like it tell better than its own alone
+    suspects = np.flatnonzero(weight > 0)
     label = np.zeros(len(tokens))
     if len(suspects):
+        agreed = dict(zip(labelled["doc_id"].astype(int), labelled["n_raters"] > 1, strict=True))
+        # words of one passage alone can't lead to another document
+        met = [sum(idf.get(w, rare) for w in telling.intersection(t) if df_counts.get(w, 0) > 1) for t in tokens]
+        most = {d: max(met[i] for i in own) for d, own in per_doc.items()}
         opinions = ExampleIndex([tokens[i] for i in suspects], share[suspects], np.ones(len(suspects)), [docs[i] for i in suspects], idf, rare)
         for i in suspects:
             near = opinions.nearest(list(tokens[i]), OPINIONS, without=docs[i])
             w = np.array([c * c for c, _ in near])
-            votes = (share[i] + float((w * opinions.labels[[j for _, j in near]]).sum())) / (1 + float(w.sum())) if near else share[i]
-            label[i] = float(votes >= 0.5)
-    index = once(np.flatnonzero(used), label)
+            if w.sum() >= ENOUGH:
+                label[i] = float(share[i] + (w * opinions.labels[[j for _, j in near]]).sum() >= 0.5 * (1 + w.sum()))
+            elif share[i] >= 0.5:
+                label[i] = 1.0 if weight[i] >= 1.2 * rare or (agreed[docs[i]] and met[i] and met[i] == most[docs[i]]) else np.nan
+    rest: dict[tuple[str, ...], int] = {}
+    for i in np.flatnonzero(weight == 0):
+        rest.setdefault(tokens[i], int(i))
+    plain = sorted(rest.values(), key=lambda i: zlib.crc32(" ".join(tokens[i]).encode()))[:MAX_PLAIN]
+    index = once(np.sort(np.concatenate([suspects[~np.isnan(label[suspects])], np.array(plain, int)])), label)
     truth, scores = [], []
-    per_doc: dict[int, list[tuple[str, ...]]] = {}
-    for d, t in zip(docs, tokens, strict=True):
-        per_doc.setdefault(d, []).append(t)
-    of = dict(zip(labelled["doc_id"].astype(int), labelled["share"], strict=True))
-    for d, ts in per_doc.items():
-        own = [list(t) for t in ts]
-        scores.append(max((index.score(own[i], without=d)[0] for i in np.flatnonzero(index.may_be_abusive(own))), default=0.0))
-        truth.append(of[d] >= 0.5)
-    truth_a, scores_a = np.array(truth, bool), np.array(scores, float)
+    for d, own in per_doc.items():
+        words = [list(tokens[i]) for i in own]
+        scores.append(max((index.score(words[i], without=d)[0] for i in np.flatnonzero(index.may_be_abusive(words))), default=0.0))
+        truth.append(share[own[0]])
+    truth_a, scores_a = np.array(truth, float), np.array(scores, float)
+    bad = truth_a >= 0.5
     best, threshold = -1.0, 0.5
     for t in np.arange(0.3, 0.71, 0.05):
         hit = scores_a >= t
-        f1 = 2 * (hit & truth_a).sum() / max(1, hit.sum() + truth_a.sum())
+        f1 = 2 * (hit & bad).sum() / max(1, hit.sum() + bad.sum())
         if f1 > best + 1e-9 or (abs(f1 - best) < 1e-9 and abs(t - 0.5) < abs(threshold - 0.5)):
             best, threshold = f1, float(t)
-    return index, threshold
+    return index, threshold, calibration(scores_a, truth_a)
 
 
 # ---- Spark --------------------------------------------------------------------------------------------------------
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, n): number of passages that have each folded word, over all documents; the word '' counts all passages."""
+def word_counts(documents: DataFrame, vocabulary: frozenset[str]) -> DataFrame:
+    """(word, n): number of passages that have each folded word of the vocabulary, over all documents; the word '' counts all passages."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folder, counts = _Folder(), Counter()
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": "object", "n": "int64"})
-
+        folder, counts, known = _Folder(), Counter(), shared.value
         for pdf in batches:
             for text in pdf["text"]:
                 if isinstance(text, str):
                     for _, words in folder.passages(text):
                         counts[""] += 1
-                        counts.update(set(words))
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
-        yield out()
+                        counts.update(known.intersection(words))
+        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": "object", "n": "int64"})
 
     return documents.select("text").mapInPandas(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, share): labelled documents, whole, with the share of raters who called them abusive: at most MAX_LABELLED, and as many
+    """(doc_id, text, share, n_raters): labelled documents, whole, with the share of raters who called them abusive: at most MAX_LABELLED, and as many
     of these as have MAX_CHARS characters together."""
-    votes = labels.where("abusive is not null").groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"))
+    votes = labels.where("abusive is not null").groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share"), F.count(F.lit(1)).alias("n_raters"))
     few = votes.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(MAX_LABELLED)
     some = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
-    # the running sum is over these few rows only
-    upto = F.sum(F.length("text").cast("long")).over(Window.orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return some.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", "share")
+    some = materialize(some, "labelled")
+    # the running sum is over MAX_LABELLED lengths at most, without the texts
+    upto = F.sum("n").over(Window.orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fit = some.select("doc_id", "o", F.length("text").cast("long").alias("n")).withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS)
+    return some.join(F.broadcast(fit.select("doc_id")), "doc_id").select("doc_id", "text", "share", "n_raters")
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, abusive, evidence, example_doc, similarity) for every document.
 
-    score is the highest vote of the document's passages, abusive whether it reaches the threshold found on the labels. evidence is
-    that passage, example_doc the labelled document it is most like. Null and empty texts have score 0. Without labels
+    score is the share of raters that the highest vote of the document's passages stands for, as calibrated on the labels, and abusive
+    whether that vote reaches the threshold found on them; it is 0 where no passage is like an abusive example. evidence is that passage, example_doc the labelled document it is most like. Null and empty texts have score 0. Without labels
     every score is 0. A document delivered twice gives two rows. Other columns are ignored.
     """
     spark = documents.sparkSession
     labelled = labelled_texts(documents, labels).toPandas()  # bounded by MAX_LABELLED and MAX_CHARS
     folder = _Folder()
-    vocabulary = sorted({w for t in labelled["text"] for _, words in folder.passages(t) for w in words} | {""})
-    wanted = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    counts = {r["word"]: r["n"] for r in word_counts(documents).join(F.broadcast(wanted), "word").collect()}
-    index, threshold = build_index(labelled, counts, counts.pop("", 0))
-    shared = spark.sparkContext.broadcast((index, threshold))
+    vocabulary = frozenset(w for t in labelled["text"] for _, words in folder.passages(t) for w in words)
+    counts = {r["word"]: r["n"] for r in word_counts(documents, vocabulary).collect()}  # no more than the labelled texts have words
+    shared = spark.sparkContext.broadcast(build_index(labelled, counts, counts.pop("", 0)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, limit = shared.value
+        ix, limit, line = shared.value
         fold, memory = _Folder(), {}
         for pdf in batches:
             best: list[tuple] = [(0.0, None, None, None)] * len(pdf)
@@ -401,7 +441,7 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     best[owner[i]] = (s, said[i], ix.docs[example] if example >= 0 else None, cos)
             out = pdf[["doc_id", "source"]].reset_index(drop=True)
             yield out.assign(
-                score=[b[0] for b in best],
+                score=[float(np.interp(b[0], *line)) if b[0] > 0 else 0.0 for b in best],
                 abusive=[b[0] >= limit and b[0] > 0 for b in best],
                 evidence=pd.Series([b[1] for b in best], dtype="object"),
                 example_doc=pd.array([b[2] for b in best], dtype="Int64"),

@@ -339,8 +339,8 @@ def abuse_tables(spark, n=300):
     return d, spark.createDataFrame(votes, "doc_id long, rater string, abusive int"), truth | {9003}
 
 
-def test_abuse_scores(spark, monkeypatch):
-    monkeypatch.setattr(abuse, "USUAL", 0.06)  # words of abuse are far more frequent here than in a corpus
+def test_abuse_scores(spark):
+    # words of abuse are far more frequent here than in a corpus
     d, votes, truth = abuse_tables(spark)
     out = abuse.abuse_scores(d, votes)
     rows = out.collect()
@@ -379,3 +379,17 @@ def test_nearest_is_exact():
         assert [round(c, 9) for c, _ in ix.nearest(words)] == want
         if (cos[ix.labels > 0.5] >= abuse.LEAST + 1e-9).any():
             assert m
+
+
+def test_telling_words_come_from_the_labels():
+    tokens = [("you", "stupid", "queue")] * 6 + [("the", "queue", "is", "read")] * 30 + [("kys", "queue")]
+    share = np.array([1.0] * 6 + [0.0] * 30 + [1.0])
+    often = {w: 4000 for w in ("you", "stupid", "queue", "the", "is", "read")} | {"kys": 2}
+    assert abuse.telling_words(tokens, share, often, 10_000) == frozenset(("kys",))  # where all texts are full of it, no word tells
+    some = {w: 300 for w in ("you", "stupid")} | {w: 9000 for w in ("queue", "the", "is", "read")} | {"kys": 2}
+    assert abuse.telling_words(tokens, share, some, 10_000) == frozenset(("kys", "you", "stupid"))
+
+
+def test_calibration_rises():
+    x, y = abuse.calibration(np.array([0.0, 0.1, 0.4, 0.5, 0.9, 0.9]), np.array([0.0, 0.2, 0.1, 0.8, 1.0, 0.9]))
+    assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and abs(np.interp(0.9, x, y) - 0.95) < 1e-9

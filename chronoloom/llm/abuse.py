@@ -52,16 +52,24 @@ _LOOKALIKES = {
     "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
 }
 _FOLD = str.maketrans(_LOOKALIKES)
-_PASSAGES = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|\s+(?=<dev_\d+>|dev_\d+:\s|(?:user|assistant|tool):\s)")
+_FIRST = re.compile(r"<dev_\d+>|(?:dev_\d+|user|assistant|tool):$")
 _CODE = re.compile(r"[/\\{}()=<>`]|[a-z][A-Z]|\w_\w\w|[a-z]\.[a-z]|^[A-Z]+_[A-Z]|^[a-z]{2,}-[a-z]{2,}|^[0-9a-f]{7,}$|^\W*\d+\W*$|^[a-z]{17,}$")
 _SPELLED = re.compile(r"(?<![\w])(?:[^\W\d_][-_.·* ]){2,}[^\W\d_]{1,3}(?![\w])")
 _EDGES = re.compile(r"^[^\w@$*]+|[^\w@$*!]+$|!+$")
 _RUN = re.compile(r"(.)\1+")
 _NAME = re.compile(r"^@?d[e3]v_?\d+$", re.I)
+_MENTION = re.compile(r"d[e3]v_?\d", re.I)
+_IDENTIFIER = re.compile(r"[a-z][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]{2}")
 
 
 def fold_word(token: str) -> str:
     """The one spelling of a token, or nothing for code, numbers and signs."""
+    if token.isascii() and token.isalpha() and len(token) < 17 and (token.islower() or token.istitle()):
+        # a plain word, the usual case: what is below comes to this
+        w = token.lower()
+        return "" if len(w) >= 7 and not w.strip("abcdef") else _RUN.sub(r"\1", w.replace("l", "i"))
+    if _IDENTIFIER.search(token) and not _MENTION.search(token) and "**" not in token:
+        return ""
     t = _EDGES.sub("", token)
     if not t or len(t) > 40:
         return ""
@@ -76,37 +84,87 @@ def fold_word(token: str) -> str:
     return "".join(c for c in t if c.isalnum() or c == "*")
 
 
+# what else is to know of a token: it is the last or the first of a passage, it has a mask, letters in it are set apart, its last
+# letter stands alone (behind another one), it begins with a letter that stands alone, it is short
+_ENDS, _STARTS, _MASKED, _APART, _ALONE, _TWICE, _OPENS, _SHORT = (1 << i for i in range(8))
+_PAIR = re.compile(r"[^\W\d_][-_.·*][^\W\d_][-_.·*]?$")
+_LEAD = re.compile(r"\W*[^\W\d_](?:[-_.·*]|$)")
+_FEW = re.compile(r"[^\W\d_]{1,3}(?!\w)")
+
+
+def token_shape(t: str) -> int:
+    if t.isalnum():
+        return 0 if len(t) > 3 or not t.isalpha() else _SHORT | (_ALONE | _OPENS if len(t) == 1 else 0)
+    shape = _ENDS if t.rstrip("\"')]")[-1:] in (".", "!", "?", "…") else 0
+    if _FIRST.match(t):
+        shape |= _STARTS
+    if "*" in t:
+        shape |= _MASKED
+    if len(t) > 4 and _SPELLED.search(t):
+        shape |= _APART
+    end = t[:-1] if t[-1] in "-_.·*" else t
+    if end[-1:].isalpha() and not end[-2:-1].isalpha() and not end[-2:-1].isdigit():
+        shape |= _ALONE | (_TWICE if _PAIR.search(t) else 0)
+    if _LEAD.match(t):
+        shape |= _OPENS
+    return shape | (_SHORT if _FEW.match(t) else 0)
+
+
 class _Memory(dict):
-    """Folded tokens, computed when first asked for, forgotten when there are too many."""
+    """Folded tokens and what else is to know of them, computed when first asked for, forgotten when there are too many."""
 
-    def __missing__(self, token: str) -> str:
+    def __missing__(self, token: str) -> tuple[str, int]:
         if len(self) > 300_000:
             self.clear()
-        w = self[token] = fold_word(token)
+        w = self[token] = fold_word(token), token_shape(token)
         return w
 
 
 class _Folder:
-    """Texts as passages and their folded words."""
+    """Texts as passages (sentences, lines, turns) and their folded words, in one walk over the tokens."""
 
     def __init__(self) -> None:
         self.known = _Memory()
 
-    def words(self, passage: str) -> list[str]:
-        if _SPELLED.search(passage):
-            passage = _SPELLED.sub(lambda m: re.sub(r"[-_.·* ]", "", m[0]), passage)
-        return [w for w in map(self.known.__getitem__, passage.split()) if w]
+    def split(self, text: str) -> list[tuple[list[str], int, int, list[str], int]]:
+        """(tokens of the line, first, end, words, shapes of the tokens together) of each passage of a text."""
+        out: list[tuple[list[str], int, int, list[str], int]] = []
+        for line in text.split("\n"):
+            self._line(line, out, True)
+        return out
 
-    def passages(self, text: str) -> list[tuple[str, list[str]]]:
-        """Each passage of a text with its words. Letters set apart are looked for once in the whole text."""
-        known = self.known.__getitem__
-        if _SPELLED.search(text):
-            return [(p, self.words(p)) for p in passages(text)]
-        return [(p, [w for w in map(known, p.split()) if w]) for p in passages(text)]
+    def _line(self, line: str, out: list, look: bool) -> None:
+        tokens, known = line.split(), self.known
+        words: list[str] = []
+        before = len(out)
+        first = shapes = last = 0
+        for i, t in enumerate(tokens):
+            w, shape = known[t]
+            if shape:
+                # letters that are set apart are put together first
+                if look and (shape & _APART or last & _ALONE and shape & _OPENS or last & _TWICE and shape & _SHORT) and _SPELLED.search(line):
+                    del out[before:]
+                    self._line(_SPELLED.sub(lambda m: re.sub(r"[-_.·* ]", "", m[0]), line), out, False)
+                    return
+                if shape & _STARTS and i > first:
+                    out.append((tokens, first, i, words, shapes))
+                    words, first, shapes = [], i, 0
+                shapes |= shape
+            last = shape
+            if w:
+                words.append(w)
+            if shape & _ENDS:
+                out.append((tokens, first, i + 1, words, shapes))
+                words, first, shapes = [], i + 1, 0
+        if first < len(tokens):
+            out.append((tokens, first, len(tokens), words, shapes))
 
+    def words(self, passage: str) -> list[str]:
+        return [w for p in self.split(passage) for w in p[3]]
 
-def passages(text: str) -> list[str]:
-    return [p for p in _PASSAGES.split(text) if p and not p.isspace()]
+    def passages(self, text: str) -> list[tuple[str, list[str]]]:
+        """Each passage of a text with its words."""
+        return [(" ".join(t[a:b]), words) for t, a, b, words, _ in self.split(text)]
 
 
 # ---- index --------------------------------------------------------------------------------------------------------
@@ -382,9 +440,10 @@ def word_counts(documents: DataFrame, vocabulary: frozenset[str]) -> DataFrame:
         for pdf in batches:
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    for _, words in folder.passages(text):
-                        counts[""] += 1
-                        counts.update(known.intersection(words))
+                    own = folder.split(text)
+                    counts[""] += len(own)
+                    for p in own:
+                        counts.update(known.intersection(p[3]))
         yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": "object", "n": "int64"})
 
     return documents.select("text").mapInPandas(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -423,13 +482,14 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for pdf in batches:
             best: list[tuple] = [(0.0, None, None, None)] * len(pdf)
             owner: list[int] = []
-            said: list[str] = []
+            said: list[tuple] = []
             folded: list[list[str]] = []
             for row, text in enumerate(pdf["text"]):
-                for p, words in fold.passages(text) if isinstance(text, str) else ():
-                    owner.append(row)
-                    said.append(p)
-                    folded.append([ix.known(w) for w in words] if "*" in p else words)
+                if isinstance(text, str):
+                    own = fold.split(text)
+                    owner += [row] * len(own)
+                    said += own
+                    folded += [[ix.known(w) for w in p[3]] if p[4] & _MASKED else p[3] for p in own]
             for i in np.flatnonzero(ix.may_be_abusive(folded)):
                 key = " ".join(folded[i])
                 if key not in memory:
@@ -438,7 +498,7 @@ def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     memory[key] = ix.score(folded[i])
                 s, example, cos = memory[key]
                 if s > best[owner[i]][0]:
-                    best[owner[i]] = (s, said[i], ix.docs[example] if example >= 0 else None, cos)
+                    best[owner[i]] = (s, " ".join(said[i][0][said[i][1] : said[i][2]]), ix.docs[example] if example >= 0 else None, cos)
             out = pdf[["doc_id", "source"]].reset_index(drop=True)
             yield out.assign(
                 score=[float(np.interp(b[0], *line)) if b[0] > 0 else 0.0 for b in best],

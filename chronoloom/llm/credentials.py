@@ -1,9 +1,10 @@
 """Credentials embedded in source code: find every place, and mask the values in place.
 
-Texts are cut into overlapping chunks, and every shard of rows (an Arrow batch) gets a trigram index: for each trigram the
-set of chunks that have it. From each detection regex the trigrams that any match must contain are derived by walking its
-syntax tree; intersecting postings leaves the candidate chunks, and the regex runs on those only. As in a file-sharded code
-search, the index of a shard lives beside its texts, so nothing is shuffled. trigram_index() writes the same index as a table.
+Texts are cut into overlapping chunks, and every shard of rows (an Arrow batch) gets a trigram index: one pass over the chunks
+posts each trigram that some rule needs with the chunks that have it. From each detection regex the trigrams that any match must
+contain are derived by walking its syntax tree; intersecting postings leaves the candidate chunks, and the regex runs on those
+only. As in a file-sharded code search, the index of a shard lives beside its texts, so nothing is shuffled; pruning() reports
+how many chunks it leaves to each rule.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 #: Characters of a chunk, and how far the text of the next chunks is indexed with it: no match but a private key is longer,
 #: and of those only the BEGIN line is matched.
 CHUNK, OVERLAP = 8192, 1024
+#: Characters of texts that are indexed together at most (a longer text alone is a shard).
+SHARD = 4_000_000
 #: Exact strings followed per regex piece before it is cut into conditions.
 MAX_STRINGS, MAX_LEADING = 24, 300
 
@@ -38,7 +41,8 @@ class _Strings:
     closed: list[frozenset[frozenset[str]]] = field(default_factory=list)
 
     def close(self) -> None:
-        alternatives = [frozenset(s[i : i + 3] for i in {0, (len(s) - 3) // 2, len(s) - 3} if len(s) >= 3) for s in self.open]
+        # a trigram with other letters than ASCII isn't indexed: without it the condition is only weaker
+        alternatives = [frozenset(t for i in {0, (len(s) - 3) // 2, len(s) - 3} if len(s) >= 3 for t in [s[i : i + 3]] if t.isascii()) for s in self.open]
         if alternatives and all(alternatives):
             self.closed.append(frozenset(alternatives))
         self.open = {""}
@@ -122,6 +126,8 @@ NAMES = (
     r"password|passwort|passwd|passphrase|passcode|(?<![a-z])pass|pwd|kennwort|contrase(?:n|ñ)a|senha|secret|token|credentials?"
     r"|(?:api|access|secret|signing|encryption|private|master|account|service|auth|session|client|license|webhook|app|deploy|shared|storage)[_-]?key"
 )
+#: What may follow such a name.
+ENDING = r"(?:_?[0-9]{1,2}|_(?:base|b64|base64|value|text|plain|raw|old|new|prod|dev|test|staging|main|primary|secondary))?"
 PLACEHOLDER = re.compile(
     r"(?ix)^(?: [*x.•#_-]+ | \$?\{.*\}? | <.*>? | %\(?\w+.* | \{\{.* | \[.* | (?:your|my|the|some|insert|enter|put|replace|add|example|sample|dummy|fake|test|placeholder|change|changeme|redacted|masked|removed|todo|tbd|none|null|nil|undefined|true|false|empty|n/?a|not[-_ ]?set|missing)(?:$|[-_ .].*)"
     r" | .*(?:example[-_]only|[-_]here|placeholder|redacted|changeme|change[-_]me|dummy|not[-_]a[-_](?:real|secret)).* | process\.env.* | os\.(?:environ|getenv).* | env[.\[(].* | \d{1,7} | x{4,}.* | \$[\w({].* | @\w+.* | vault:.* | (?:secretmanager|arn:aws|ssm|sm|op):.* )$"
@@ -139,15 +145,16 @@ RULES: list[tuple[str, str]] = [
     ("jwt", r"(?P<v>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"),
     ("auth_header", r"Authorization\\?[\"'`]?\s?[:=,]\s?\\?[\"'`]?(?P<scheme>Bearer|Basic|Token|ApiKey|Digest)\s+(?P<v>[^\s\"'`\\,;<>]{6,})"),
     ("bearer", r"Bearer\s+(?P<v>[A-Za-z0-9._~+/=-]{16,})"),
-    ("url_password", r"://[^\s:/@\"'`\\<>]{0,64}:(?P<v>[^\s@\"'`\\<>]{3,200})@"),
+    ("url_password", r"://[^\s:/@\"'`\\<>]{0,64}:(?P<v>[^\s@\"'`\\<>]{3,})@"),
     ("basic_flag", r"curl\b[^\n]{0,200}?\ (?:-u|--user)[\ =]?\\?[\"']?[^\s:\"'\\]{1,64}:(?P<v>[^\s\"'`\\]{4,})"),
     ("url_query", rf"[?&](?:[a-z]{{0,20}}_)?(?:{NAMES}|key|sig|signature)=(?P<v>[^\s&\"'`\\<>#]{{6,}})"),
-    ("element", rf"(?:{NAMES})>(?P<v>[^<>\n]{{4,300}}?)</"),
+    ("element", rf"(?:{NAMES}){ENDING}>(?P<v>[^<>\n]{{4,}})</"),
     ("flag", rf"--(?:[a-z]+-){{0,3}}(?:{NAMES})(?:=|\ )(?P<q>\\?[\"'`])?(?P<v>[^-\s\"'`\\][^\s\"'`\\]{{5,}})"),
     ("connection", r"(?:Password|Pwd)\s?=\s?(?P<v>[^;\s\"'`\\]{4,});"),
     ("auth_line", r"_auth(?:Token)?\s?=\s?(?P<q>\\?[\"'`])?(?P<v>[^\s\"'`\\]{6,})"),
-    ("assigned", rf"(?:{NAMES})(?:\\*[\"'`])?\]?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}(?P<q>\\*[\"'`])(?P<v>(?:(?!(?P=q))[^\n]){{4,600}}?)(?P=q)"),
-    ("assigned_bare", rf"(?:{NAMES})(?:\\*[\"'`])?\]?[ \t]{{0,4}}[:=][ \t]{{0,4}}(?P<v>[^\s\"'`\\<>,;(){{}}\[\]][^\s\"'`\\<>]{{5,}})"),
+    # the value goes on to the closing quote, however far that is: see _closing()
+    ("assigned", rf"(?P<name>{NAMES}){ENDING}(?:\\*[\"'`])?\]?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}(?P<q>\\*[\"'`])(?P<v>)"),
+    ("assigned_bare", rf"(?:{NAMES}){ENDING}(?:\\*[\"'`])?\]?[ \t]{{0,4}}[:=][ \t]{{0,4}}(?P<v>[^\s\"'`\\<>,;(){{}}\[\]][^\s\"'`\\<>]{{5,}})"),
     ("is_prose", r"(?:password|passwort|passphrase|kennwort|contrase(?:n|ñ)a|mot\ de\ passe|senha)\ (?:is|ist|est|es|é|lautet|was)\ (?P<q>\\?[\"'`])?(?P<v>[^\s\"'`\\<>,;()]{6,})"),
     ("login_prose", r"user\ [\w.@-]{1,40},\ (?:[a-zñéç]+\ ){0,3}[a-zñéç]+:?\ (?P<q>\\?[\"'`])?(?P<v>[^\s\"'`\\<>,;()]{6,})"),
     ("login_table", r"(?:console|login|account|admin|portal)\ ?\|\s*(?P<v>[^\s|]{6,})\s*\|"),
@@ -187,6 +194,16 @@ def _is_value(rule: str, v: str, quoted: bool) -> bool:
     return not _CALL.match(v) and not _WEAK_WORDS.match(v) and _mixed(v)
 
 
+#: A passphrase of several plain words.
+_WORDED = re.compile(r"[A-Za-z0-9]{2,}(?:[ .-]+[A-Za-z0-9]{2,}){3,}")
+
+
+def _closing(text: str, start: int, quote: str) -> int:
+    """Where the value that begins at start ends: at its closing quote, which must be on the same line; else -1."""
+    end = text.find(quote, start)
+    return end if end - start >= 4 and text.find("\n", start, end) < 0 else -1
+
+
 def _basic(v: str) -> bool:
     """Whether v is base64 of user:password."""
     try:
@@ -269,12 +286,17 @@ def find_in(text: str, rules: list[int] | None = None, lo: int = 0, hi: int | No
             quoted = bool(groups.get("q"))
             if rule == "private_key":
                 b = _key_end(text, a)
+            elif rule == "assigned":
+                b = _closing(text, a, groups["q"])
+                if b < 0:
+                    continue
             elif not quoted and rule not in ("url_password", "connection", "element", "login_table"):
                 b = a + len(text[a:b].rstrip(".,;:)}]|"))
             v = text[a:b]
             if rule.startswith("assigned") and ("-----BEGIN" in v or text[b : b + 1] == "("):
                 continue
-            if any(x <= a < y for x, y in taken) or not _accepts(rule, v, quoted, (groups.get("scheme") or "").lower()):
+            worded = rule == "assigned" and groups["name"].lower() == "passphrase" and _WORDED.fullmatch(v) and not PLACEHOLDER.match(v)
+            if any(x <= a < y for x, y in taken) or not (worded or _accepts(rule, v, quoted, (groups.get("scheme") or "").lower())):
                 continue
             spans = [(a, b)]
             if quoted and rule != "private_key":
@@ -293,9 +315,39 @@ def chunks_of(text: str) -> list[int]:
     return list(range(0, len(text), CHUNK))
 
 
-def postings(lowered: list[str], vocabulary: list[str]) -> dict[str, np.ndarray]:
-    """For each trigram, which of the chunks have it."""
-    return {t: np.fromiter((t in x for x in lowered), bool, len(lowered)) for t in vocabulary}
+def _trigram_codes(b: np.ndarray) -> np.ndarray:
+    return (b[:-2].astype(np.int32) << 16) | (b[1:-1].astype(np.int32) << 8) | b[2:]
+
+
+def _code_table() -> np.ndarray:
+    """For each of 2**24 trigrams of bytes its row in the index, 0 for those that no rule needs. Capitals are those of small letters."""
+    table = np.zeros(1 << 24, np.uint8 if len(VOCABULARY) < 255 else np.uint16)
+    for i, t in enumerate(VOCABULARY, 1):
+        forms = [[ord(c), ord(c.upper())] for c in t]
+        for x in forms[0]:
+            for y in forms[1]:
+                for z in forms[2]:
+                    table[(x << 16) | (y << 8) | z] = i
+    return table
+
+
+_TABLE: list[np.ndarray] = []
+
+
+def postings(chunks: list[str]) -> dict[str, np.ndarray]:
+    """For each trigram of VOCABULARY, which of the chunks have it, from one pass over all of them."""
+    if not _TABLE:
+        _TABLE.append(_code_table())
+    # between chunks stands a byte that no trigram has
+    data = [c.encode("utf-8", "surrogatepass") for c in chunks]
+    whole = np.frombuffer(b"\xff\xff".join([*data, b""]), np.uint8)
+    starts = np.cumsum([0, *[len(d) + 2 for d in data]])
+    hit = np.zeros((len(VOCABULARY) + 1, len(chunks)), bool)
+    for lo in range(0, max(0, len(whole) - 2), 1 << 20):
+        row = _TABLE[0][_trigram_codes(whole[lo : lo + (1 << 20) + 2])]
+        at = np.flatnonzero(row)
+        hit[row[at], np.searchsorted(starts, at + lo, "right") - 1] = True
+    return {t: hit[i] for i, t in enumerate(VOCABULARY, 1)}
 
 
 def candidates(index: dict[str, np.ndarray], n: int) -> list[np.ndarray]:
@@ -315,18 +367,38 @@ def candidates(index: dict[str, np.ndarray], n: int) -> list[np.ndarray]:
     return out
 
 
+def shards(texts: list[str | None]) -> Iterator[list[int]]:
+    """Positions of texts in runs of about SHARD characters."""
+    run, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            run.append(i)
+            size += len(t)
+            if size >= SHARD:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def shard_candidates(texts: list[str], own: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The chunks (text, start) of a shard, and a table of which are candidates of which rule."""
+    at = [(i, c) for i in own for c in chunks_of(texts[i])]
+    return at, np.array(candidates(postings([texts[i][c : c + CHUNK + OVERLAP] for i, c in at]), len(at))).T
+
+
 def search_shard(texts: list[str | None]) -> list[list[tuple[int, str, list[tuple[int, int]]]]]:
-    """The findings of each text of a shard, through the shard's own trigram index."""
-    at = [(i, c) for i, t in enumerate(texts) if t for c in chunks_of(t)]
-    whole = [t.lower() if t else "" for t in texts]
-    lowered = [whole[i][c : c + CHUNK + OVERLAP] if len(whole[i]) == len(texts[i]) else texts[i][c : c + CHUNK + OVERLAP].lower() for i, c in at]
-    hits = candidates(postings(lowered, VOCABULARY), len(at))
-    table = np.array(hits).T if at else np.zeros((0, len(RULES)), bool)
+    """The findings of each text, through the trigram indices of their shards."""
     found: list[dict] = [{} for _ in texts]
-    for row in np.flatnonzero(table.any(axis=1)):
-        i, c = at[row]
-        for a, rule, spans in find_in(texts[i], np.flatnonzero(table[row]).tolist(), c, c + CHUNK, whole[i]):
-            found[i].setdefault(a, (a, rule, spans))
+    for own in shards(texts):
+        at, table = shard_candidates(texts, own)
+        lowered: dict[int, str] = {}
+        for row in np.flatnonzero(table.any(axis=1)):
+            i, c = at[row]
+            if i not in lowered:
+                lowered[i] = texts[i].lower()
+            for a, rule, spans in find_in(texts[i], np.flatnonzero(table[row]).tolist(), c, c + CHUNK, lowered[i]):
+                found[i].setdefault(a, (a, rule, spans))
     return [sorted(f.values()) for f in found]
 
 
@@ -376,18 +448,36 @@ def mask_credentials(texts: DataFrame) -> DataFrame:
     )
 
 
+def pruning(texts: DataFrame) -> DataFrame:
+    """(rule, n_chunks, n_candidates, share): how many chunks of the texts the index leaves to each rule; 'any' is those left to some rule."""
+    names = [n for n, _ in RULES] + ["any"]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, left = 0, np.zeros(len(names), np.int64)
+        for pdf in batches:
+            values = [t if isinstance(t, str) else None for t in pdf["text"]]
+            for own in shards(values):
+                at, table = shard_candidates(values, own)
+                n += len(at)
+                left += [*table.sum(axis=0), table.any(axis=1).sum()]
+        yield pd.DataFrame({"rule": names, "n_chunks": n, "n_candidates": left})
+
+    sums = texts.select("text").mapInPandas(rows, "rule string, n_chunks long, n_candidates long").groupBy("rule").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_candidates").alias("n_candidates"))
+    return sums.withColumn("share", F.when(F.col("n_chunks") > 0, F.col("n_candidates") / F.col("n_chunks")))
+
+
 def trigram_index(texts: DataFrame) -> DataFrame:
     """The index as a table: (trigram, table_name, field, record_id, chunk) for the trigrams that the rules need."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            at = [(i, c) for i, t in enumerate(values) for c in chunks_of(t)]
-            index = postings([values[i][c : c + CHUNK + OVERLAP].lower() for i, c in at], VOCABULARY)
-            for t, hit in index.items():
-                own = np.flatnonzero(hit)
-                head = pdf[["table_name", "field", "record_id"]].iloc[[at[k][0] for k in own]].reset_index(drop=True)
-                yield head.assign(trigram=t, chunk=[at[k][1] // CHUNK for k in own]).astype({"chunk": "int64"})
+            values = [t if isinstance(t, str) else None for t in pdf["text"]]
+            for own in shards(values):
+                at = [(i, c) for i in own for c in chunks_of(values[i])]
+                for t, hit in postings([values[i][c : c + CHUNK + OVERLAP] for i, c in at]).items():
+                    k = np.flatnonzero(hit)
+                    head = pdf[["table_name", "field", "record_id"]].iloc[[at[x][0] for x in k]].reset_index(drop=True)
+                    yield head.assign(trigram=t, chunk=[at[x][1] // CHUNK for x in k]).astype({"chunk": "int64"})
 
     return texts.select("table_name", "field", "record_id", "text").mapInPandas(
         rows, "table_name string, field string, record_id string, trigram string, chunk long"
@@ -395,7 +485,7 @@ def trigram_index(texts: DataFrame) -> DataFrame:
 
 
 def stored_texts(hook_events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts that can hold credentials, each record and text once."""
+    """The texts that can hold credentials; a record delivered twice is there twice."""
     parts = [
         hook_events.select(F.lit("hook_events").alias("table_name"), F.lit(c).alias("field"), F.col("event_id").cast("string").alias("record_id"), F.col(c).alias("text"))
         for c in ("tool_input", "tool_response")

@@ -33,6 +33,10 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return credentials.mask_credentials(_texts(spark, d)).dropDuplicates(["table_name", "field", "record_id"])
 
 
+def p5_pruning(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.pruning(_texts(spark, d))
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.stored_texts(table(spark, d, "graph_nodes"), table(spark, d, "detected_patterns"))
 
@@ -86,5 +90,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_groups, p5_found, p5_masked, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_groups, p5_found, p5_masked, p5_pruning, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}

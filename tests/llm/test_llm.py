@@ -223,6 +223,29 @@ def test_masked_json_stays_json(spark):
     assert credentials.trigram_index(df).where("trigram = 'pas'").count() == 1
 
 
+def test_long_and_worded_values():
+    long = "A1b2" * 500
+    cases = {
+        f'service_key = "{long}"': long, f"<password>{long}</password>": long, f"db://app:{long}@host/x": long, 'SECRET_KEY_BASE: "x9!kQ2mZ7pRt"': "x9!kQ2mZ7pRt",
+        "password2 = 'x9!kQ2mZ7pRt'": "x9!kQ2mZ7pRt", "private_key_b64=x9kQ2mZ7pRt4": "x9kQ2mZ7pRt4", 'passphrase = "correct horse battery staple"': "correct horse battery staple",
+    }
+    for text, value in cases.items():
+        for t in (text, "x" * 9000 + "\n" + text):
+            (found,) = credentials.search_shard([t])
+            assert [t[a:b] for _, _, spans in found for a, b in spans] == [value], text[:40]
+    assert credentials.search_shard(['passphrase = "enter your passphrase here"', 'password = "unclosed\n"', 'token_count = "abc123def456"']) == [[], [], []]
+
+
+def test_index_against_search_of_each_trigram(spark):
+    texts = ["Password = 'abc' und Contraseña", "", "x" * 8192 + "TOKEN", "nothing", "\ud800 secret"]
+    hits = credentials.postings(texts)
+    assert {t: h.tolist() for t, h in hits.items()} == {t: [t in x.lower() for x in texts] for t in credentials.VOCABULARY}
+    df = spark.createDataFrame([("t", "f", "1", texts[0]), ("t", "f", "2", None), ("t", "f", "3", texts[3])], "table_name string, field string, record_id string, text string")
+    rows = {r.rule: r for r in credentials.pruning(df).collect()}
+    assert rows["any"].n_chunks == 2 and rows["assigned"].n_candidates == 1 and rows["private_key"].share == 0
+    assert all(r.n_chunks == 0 and r.share is None for r in credentials.pruning(df.limit(0)).collect())
+
+
 # ---- containers ---------------------------------------------------------------------------------------------------
 
 

@@ -396,15 +396,17 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     label = np.zeros(len(tokens))
     if len(suspects):
         agreed = dict(zip(labelled["doc_id"].astype(int), labelled["n_raters"] > 1, strict=True))
-        # words of one passage alone can't lead to another document
-        met = [sum(idf.get(w, rare) for w in telling.intersection(t) if df_counts.get(w, 0) > 1) for t in tokens]
+        # a word of one passage alone, however often that is copied, may be there by chance
+        seen = Counter(w for t in {tokens[i] for i in np.flatnonzero(share >= 0.5)} for w in telling.intersection(t))
+        met = [sum(idf.get(w, rare) for w in telling.intersection(t) if seen[w] > 1) for t in tokens]
         most = {d: max(met[i] for i in own) for d, own in per_doc.items()}
         opinions = ExampleIndex([tokens[i] for i in suspects], share[suspects], np.ones(len(suspects)), [docs[i] for i in suspects], idf, rare)
         for i in suspects:
             near = opinions.nearest(list(tokens[i]), OPINIONS, without=docs[i])
             w = np.array([c * c for c, _ in near])
             if w.sum() >= ENOUGH:
-                label[i] = float(share[i] + (w * opinions.labels[[j for _, j in near]]).sum() >= 0.5 * (1 + w.sum()))
+                own = min(1.0, weight[i] / (1.2 * rare))  # the less its words tell, the less its own document's say counts
+                label[i] = float(own * share[i] + (w * opinions.labels[[j for _, j in near]]).sum() >= 0.5 * (own + w.sum()))
             elif share[i] >= 0.5:
                 label[i] = 1.0 if weight[i] >= 1.2 * rare or (agreed[docs[i]] and met[i] and met[i] == most[docs[i]]) else np.nan
     rest: dict[tuple[str, ...], int] = {}

@@ -35,11 +35,14 @@ LONG = 20
 MIN_WORDS = 6
 #: A bucket with more texts is compared in blocks of this many, each pair of blocks in a task of its own.
 BLOCK = 20_000
+#: Share of the classes by which such buckets are looked for beforehand, and how many are kept out of the shuffle by bucket at most;
+#: those not foreseen are put off when they are met.
+LOOK, FORESEEN = 0.01, 10_000
 #: A word in more than one of so many texts has its weight looked up; the number of such words is at most COMMON times the
 #: mean number of words of a text, whatever the number of texts. All rarer words weigh the most.
 COMMON = 1000
-#: Part of the longer text's words that the alignment may be off the diagonal.
-BAND = 0.25
+#: Part of the longer text's words that the alignment may be off the diagonal: a pair that it can settle at 0.8 is not further off.
+BAND = 0.2
 #: Pairs aligned at a time.
 PAIRS = 4096
 
@@ -250,13 +253,26 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=["a", "b", *ROW])
 
 
-def candidate_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a bucket and pass the bounds. Buckets above BLOCK are put off whole and
-    then compared by pairs of blocks; no row is dropped.
+def crowded_buckets(buckets: DataFrame) -> list[int]:
+    """Buckets that probably have more than BLOCK texts, from the buckets of a sample of LOOK of the classes; FORESEEN at most."""
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 0.5 * LOOK * BLOCK)
+    return [r["bucket"] for r in counts.orderBy(F.desc("k"), "bucket").limit(FORESEEN).collect()]
+
+
+def _one_column(df: DataFrame, values: list[int]) -> DataFrame:
+    # FORESEEN numbers at most
+    return F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], "bucket long"))
+
+
+def candidate_pairs(buckets: DataFrame, threshold: float, crowded: list[int] | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a bucket and pass the bounds. Buckets above BLOCK, the crowded ones without being
+    brought together first, are put off whole and then compared by pairs of blocks; no row is dropped.
     """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        def put_off(t: pa.Table) -> pa.RecordBatch:
+            none = pa.nulls(t.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *[t.column(c).combine_chunks() for c in ROW]], names=["a", "b", *ROW])
 
         def work(t: pa.Table):
             r = _columns(t)
@@ -265,28 +281,44 @@ def candidate_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
             size = np.repeat(np.diff(edges), np.diff(edges))
             big = size > BLOCK
             if big.any():
-                none = pa.nulls(int(big.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(r[c][big]) for c in ROW]], names=["a", "b", *ROW])
+                yield put_off(t.filter(pa.array(big)))
             some = (size > 1) & ~big
             for a, b in _runs_pairs({c: r[c][some] for c in ROW}, bucket[some], threshold):
                 yield _pair_batch(a, b)
 
+        rest, hot = None, None  # hot: the bucket whose rows go by, as it has more than a block
         for batch in batches:
             t = pa.Table.from_batches([batch])
+            if hot is not None and t.num_rows:
+                own = int(np.searchsorted(t.column("bucket").to_numpy(), hot, "right"))
+                if own:
+                    yield put_off(t.slice(0, own))
+                    t = t.slice(own)
+                if t.num_rows:
+                    hot = None
             if rest is not None:
                 t = pa.concat_tables([rest, t])
             if not t.num_rows:
+                rest = None
                 continue
             bucket = t.column("bucket").to_numpy()
             cut = int(np.searchsorted(bucket, bucket[-1], "left"))
             rest = t.slice(cut)
             if cut:
                 yield from work(t.slice(0, cut))
+            if rest.num_rows > BLOCK:
+                yield put_off(rest)
+                rest, hot = None, bucket[-1]
         if rest is not None and rest.num_rows:
             yield from work(rest)
 
-    sorted_rows = buckets.repartition("bucket").sortWithinPartitions("bucket")
-    first = materialize(sorted_rows.mapInArrow(within, PAIR_SCHEMA), "candidates")
+    spread = buckets if not crowded else buckets.join(_one_column(buckets, crowded), "bucket", "left_anti")
+    sorted_rows = spread.repartition("bucket").sortWithinPartitions("bucket")
+    first = sorted_rows.mapInArrow(within, PAIR_SCHEMA)
+    if crowded:
+        nothing = F.lit(None).cast("long")
+        first = first.unionByName(buckets.join(_one_column(buckets, crowded), "bucket", "left_semi").select(nothing.alias("a"), nothing.alias("b"), *ROW))
+    first = materialize(first, "candidates")
     pairs = first.where("bucket is null").select("a", "b")
     put_off = first.where("bucket is not null").select(*ROW)
     sizes = put_off.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
@@ -382,14 +414,22 @@ def shared_words(x: np.ndarray, xo: np.ndarray, y: np.ndarray, yo: np.ndarray) -
     return np.bincount(first[sides == 3], minlength=n), np.bincount(first, minlength=n)
 
 
+def _some(x: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These rows of a flat list column."""
+    size = np.diff(offsets)[rows]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return x[np.repeat(offsets[rows] - at[:-1], size) + np.arange(at[-1])], at
+
+
 def verified_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity, edit_similarity) of the candidate pairs whose word sets share at least the threshold.
+    """(a, b, settled, edit_similarity) of the candidate pairs whose word sets share at least the threshold.
 
-    The banded alignment comes first: words that it matches are shared, and where these are enough the pair is settled. The
-    others (words moved, or far off the diagonal) are settled by the exact word sets.
+    The banded alignment comes first: of the words that it matches, as many are different and shared as it matches more than a text
+    repeats, and where these are enough the pair is settled. The others (words moved, or far off the diagonal) are settled by the exact
+    word sets. settled tells by which: align or words.
     """
-    seqs = classes.select("cid", "seq")
-    both = pairs.join(seqs.withColumnsRenamed({"cid": "b", "seq": "y"}), "b").join(seqs.withColumnsRenamed({"cid": "a", "seq": "x"}), "a").select("a", "b", "x", "y")
+    seqs = classes.select("cid", "seq", F.size(F.array_distinct("seq")).alias("n"))
+    both = pairs.join(seqs.withColumnsRenamed({"cid": "b", "seq": "y", "n": "m"}), "b").join(seqs.withColumnsRenamed({"cid": "a", "seq": "x"}), "a").select("a", "b", "x", "y", "n", "m")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -409,15 +449,22 @@ def verified_pairs(pairs: DataFrame, classes: DataFrame, threshold: float) -> Da
                 distance = aligned_distance(x, xo, y, yo)
                 longer = np.maximum(lx, ly)
                 edit = 1 - np.minimum(distance, longer) / longer
-                shared, either = shared_words(x, xo, y, yo)
-                ok = shared >= threshold * either - 1e-9
+                nx, ny = b.column("n").to_numpy(), b.column("m").to_numpy()
+                least = longer - distance - np.minimum(lx - nx, ly - ny)
+                aligned = least >= threshold * (nx + ny - least) - 1e-9
+                ok = aligned.copy()
+                if not aligned.all():
+                    open_ = np.flatnonzero(~aligned)
+                    shared, either = shared_words(*_some(x, xo, open_), *_some(y, yo, open_))
+                    ok[open_] = shared >= threshold * either - 1e-9
                 if ok.any():
+                    keep = pa.array(ok)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array((shared / either)[ok]), pa.array(edit[ok])],
-                        names=["a", "b", "similarity", "edit_similarity"],
+                        [b.column("a").filter(keep), b.column("b").filter(keep), pa.array(np.where(aligned, "align", "words")[ok]), pa.array(edit[ok])],
+                        names=["a", "b", "settled", "edit_similarity"],
                     )
 
-    return both.mapInArrow(check, "a long, b long, similarity double, edit_similarity double")
+    return both.mapInArrow(check, "a long, b long, settled string, edit_similarity double")
 
 
 def near_duplicate_classes(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -428,7 +475,9 @@ def near_duplicate_classes(texts: DataFrame, threshold: float = 0.8) -> tuple[Da
     words, are in neither. Other columns are ignored; empty input gives empty results.
     """
     members, classes = classes_of(word_rows(texts.where(F.col("id").isNotNull())))
-    pairs = candidate_pairs(bucket_rows(classes, word_weights(classes)), threshold)
+    weights = word_weights(classes)
+    crowded = crowded_buckets(bucket_rows(classes.where(F.pmod(F.xxhash64("cid"), F.lit(round(1 / LOOK))) == 0), weights))
+    pairs = candidate_pairs(bucket_rows(classes, weights), threshold, crowded)
     return members, materialize(verified_pairs(pairs, classes, threshold), "links")
 
 

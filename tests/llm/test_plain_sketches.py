@@ -22,3 +22,25 @@ def test_common_words_with_rare_ones_and_repeats_meet(spark):
     pairs = [(cid[f"{k}{i}p"], cid[f"{k}{i}q"]) for k in "ar" for i in range(60)]
     met = [(min(p), max(p)) in got for p in pairs]
     assert sum(met) >= 119, (sum(met[:60]), sum(met[60:]))
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """A bucket that most texts share is compared in blocks, whether it was foreseen by the sample or met on the way."""
+    words = [f"t{i}" for i in range(30)]
+    rows = [(f"x{i:03}", " ".join([*words, f"own{i}"])) for i in range(150)] + [("far", "a b c d e f g")]
+    df = spark.createDataFrame(rows, "id string, text string").selectExpr("'t' table_name", "'f' field", "id", "text")
+    want = {(a, b) for i, (b, _) in enumerate(rows[:150]) for a, _ in rows[:i]}
+    monkeypatch.setattr(nd, "BLOCK", 40)
+    for look in (1.0, 0.01):
+        monkeypatch.setattr(nd, "LOOK", look)
+        assert {(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df).collect()} == want
+
+
+def test_alignment_settles_what_it_can(spark):
+    words = [f"w{i}" for i in range(40)]
+    moved = words[20:] + words[:20]
+    rows = [("a", " ".join(words)), ("b", " ".join([*words[:17], "new", *words[18:]])), ("c", " ".join([*moved, "end"]))]
+    df = spark.createDataFrame(rows, "id string, text string").selectExpr("'t' table_name", "'f' field", "id", "text")
+    members, links = nd.near_duplicate_classes(df)
+    of = {r.cid: r.id for r in members.collect()}
+    assert {(*sorted((of[r.a], of[r.b])), r.settled) for r in links.collect()} == {("a", "b", "align"), ("a", "c", "words"), ("b", "c", "words")}

@@ -53,7 +53,8 @@ def source_budgets(texts: DataFrame, targets: DataFrame, total: int | None) -> D
 
 
 def thresholds(texts: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, threshold): the texts of a source with h below it hold as many tokens as fit into `rest`, to within one text.
+    """(source, threshold): the texts of a source with h below it hold as nearly as possible `rest` tokens: the text in which these end is
+    taken if that is nearer (more than half of it fits).
 
     Each level sums tokens over the boundary bucket of the level before only; its result has at most 2**BITS rows per source of the
     targets table, so it is the targets that bound what is joined, never the data.
@@ -65,7 +66,8 @@ def thresholds(texts: DataFrame, budgets: DataFrame) -> DataFrame:
         inside = texts.join(F.broadcast(state), "source").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << (shift + BITS))))
         sums = inside.groupBy("source", F.shiftrightunsigned("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("t"))
         running = Window.partitionBy("source").orderBy("bucket")
-        upto = sums.join(F.broadcast(state), "source").withColumn("upto", F.sum("t").over(running)).where(F.col("upto") <= F.col("left"))
+        fits = F.col("upto") <= F.col("left") if level < LEVELS - 1 else 2 * F.col("upto") - F.col("t") < 2 * F.col("left")
+        upto = sums.join(F.broadcast(state), "source").withColumn("upto", F.sum("t").over(running)).where(fits)
         taken = upto.groupBy("source").agg(F.max("upto").alias("taken"), F.max("bucket").alias("bucket"))
         edge = F.when(F.col("bucket").isNull(), F.col("low")).otherwise(F.shiftleft(F.col("bucket") + 1, shift))
         state = materialize(state.join(taken, "source", "left").select("source", edge.alias("low"), (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left")), "thresholds")

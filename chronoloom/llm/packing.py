@@ -3,7 +3,8 @@
 Items are spread over shards by hash. In a shard, every container takes the longest item left and then the combination of other
 items that fills it best: a subset-sum table over the available lengths, kept as the bits of one integer, says which fills can
 be reached, and the steps that reached the best are walked back. The chosen items are removed and the next container begins.
-What a shard cannot fill well is packed once more, over fewer shards, for as long as that at least halves it.
+What a shard cannot fill well is packed once more, over fewer shards, until a budget's last shard, or until packing again no longer
+halves what is left of a budget: then its containers stay as they are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from chronoloom.session import materialize
 
 #: Items per shard. A shard is packed by one task; more items leave less space unused, but beyond some thousands hardly.
 SHARD = 8_000
+#: Budgets at most: every item is packed once for each.
+BUDGETS = 1000
 #: A container of a round that isn't the last counts as well filled from this share of its capacity; others are packed again.
 WELL = 0.995
 
@@ -83,7 +86,10 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def split_items(items: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_name, capacity, doc_id, piece, size): an item is one piece unless it alone exceeds the capacity; then it gives full
     pieces and one rest. Items without tokens have no size and are left out here."""
-    b = F.broadcast(budgets.select("budget_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").distinct())
+    sizes = budgets.select("budget_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").distinct().limit(BUDGETS + 1).collect()
+    if len(sizes) > BUDGETS:
+        raise ValueError(f"more than {BUDGETS} budgets")
+    b = F.broadcast(budgets.sparkSession.createDataFrame([(r["budget_name"], r["capacity"]) for r in sizes], "budget_name string, capacity long"))
     n = F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int")
     pieces = items.where("n_tokens > 0").join(b).withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     return pieces.select("budget_name", "capacity", "doc_id", "piece", F.least("capacity", F.col("n_tokens") - F.col("piece") * F.col("capacity")).cast("long").alias("size"))
@@ -92,8 +98,7 @@ def split_items(items: DataFrame, budgets: DataFrame) -> DataFrame:
 PACKED = "budget_name string, capacity long, doc_id long, piece int, size long, container string, fill long, done boolean"
 
 
-def _round(items: DataFrame, shards: dict[str, int], number: int, last: bool) -> DataFrame:
-    keep = 0.0 if last else WELL
+def _round(items: DataFrame, shards: dict[str, int], number: int, last: frozenset[str]) -> DataFrame:
     n = F.lit(1)
     for name, k in shards.items():
         n = F.when(F.col("budget_name") == name, F.lit(k)).otherwise(n)
@@ -105,6 +110,7 @@ def _round(items: DataFrame, shards: dict[str, int], number: int, last: bool) ->
         for c, members in enumerate(pack(sizes, capacity)):
             container[members] = c
             fill[members] = sizes[members].sum()
+        keep = 0.0 if pdf["budget_name"].iloc[0] in last else WELL
         name = f"{number}-{int(pdf['shard'].iloc[0])}-"
         return pdf.drop(columns="shard").assign(container=[name + str(c) for c in container], fill=fill, done=fill >= keep * capacity)
 
@@ -122,18 +128,16 @@ def pack_items(items: DataFrame, budgets: DataFrame) -> DataFrame:
     pieces = materialize(split_items(once, budgets), "pieces")
     # a piece as large as its container is one already
     full = pieces.where("size = capacity").select("budget_name", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "capacity", F.col("size").alias("fill"), "doc_id", "piece", "size")
-    out, left, number, before = [full], pieces.where("size < capacity"), 0, 0
+    out, left, number, before = [full], pieces.where("size < capacity"), 0, {}
     while True:
         n = {r["budget_name"]: r["n"] for r in left.groupBy("budget_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         shards = {name: max(1, -(-k // SHARD)) for name, k in n.items()}
-        # where packing again no longer helps (items that don't fit together), a round's containers stay as they are
-        last = all(k == 1 for k in shards.values()) or 2 * sum(n.values()) > before > 0
-        before = sum(n.values())
+        last = frozenset(name for name, k in n.items() if shards[name] == 1 or 2 * k > before.get(name, 2 * k))
         placed = materialize(_round(left, shards, number, last), "placed")
         out.append(placed.where("done").select(*full.columns))
-        if last:
+        if len(last) == len(n):
             break
-        left, number = placed.where("not done").select("budget_name", "capacity", "doc_id", "piece", "size"), number + 1
+        left, number, before = placed.where("not done").select("budget_name", "capacity", "doc_id", "piece", "size"), number + 1, n
     result = out[0]
     for df in out[1:]:
         result = result.unionByName(df)

@@ -91,4 +91,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_groups, p5_found, p5_masked, p5_pruning, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p4_found": """
+with t as (select 'graph_nodes' as table_name, 'content' as field, id, content as text from graph_nodes union select 'graph_nodes', 'summary', id, summary from graph_nodes union
+  select 'detected_patterns', 'matched_line', pattern_id, matched_line from detected_patterns),
+w as (select table_name, field, id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from t),
+v as (select * from w where len(w) >= 6)
+select distinct a.table_name, a.field, a.id as id_a, b.id as id_b from v a join v b on a.table_name = b.table_name and a.field = b.field and a.id < b.id
+  and len(a.w) * 5 >= len(b.w) * 4 and len(b.w) * 5 >= len(a.w) * 4 where len(list_intersect(a.w, b.w)) * 5 >= len(list_distinct(list_concat(a.w, b.w))) * 4""",
+}

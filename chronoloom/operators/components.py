@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node that occurs in edges (src, dst); component is the smallest id that is connected to it.
 
     Directions, repeated edges and self-loops don't matter; edges with a null end are left out (the other end still gets a
-    row). Empty input gives an empty result. Works for any orderable id type.
+    row). Empty input gives an empty result. More rounds than max_rounds, which no real graph needs, are an error. Works for any orderable id type.
     """
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct()
     links = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
@@ -43,5 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(state) == before:
             break
         before = tuple(state)
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     parents = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "id")
     return ends.join(parents, "id", "left").select("id", F.coalesce("m", "id").alias("component"))

@@ -9,19 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.bitemporal import edge_is_active, is_active
+from chronoloom.operators.components import connected_components
 from chronoloom.operators.relational import top_k
 from chronoloom.session import discard, materialize
 
 
+#: Gain of modularity in a round under which communities count as settled.
+SETTLED = 1e-3
 #: Seeds that shortest_paths() answers for in one call.
 MAX_SEEDS = 1000
 
 
-def reach(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth): every node within `depth` hops of each seed (id), at its smallest distance, seeds included at 0."""
+def reach(pairs: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, id, depth): every node within `depth` hops of each seed (id), without a depth every node in reach, at its smallest distance,
+    seeds included at 0."""
     pairs = pairs.select("a", "b").where("a is not null and b is not null").distinct()
     seen = materialize(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).where("id is not null").distinct(), "reach")
-    for step in range(1, depth + 1):
+    step = 0
+    while depth is None or step < depth:
+        step += 1
         edge = seen.where(F.col("depth") == step - 1).select("seed", F.col("id").alias("a"))
         ahead = edge.join(pairs, "a").select("seed", F.col("b").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
         grown = materialize(seen.unionByName(ahead.withColumn("depth", F.lit(step))), "reach")
@@ -67,25 +73,31 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
     out = e.groupBy("a").agg(F.count(F.lit(1)).alias("out"))
     links = materialize(e.join(out, "a").select("a", "b", (1.0 / F.col("out")).alias("share")), "links")
     state = materialize(nodes.select("id", t.alias("t")).join(out.withColumnRenamed("a", "id"), "id", "left").withColumn("score", F.col("t")), "rank")
+    ends = F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0))
+    lost = state.agg(ends).first()[0]
     for _ in range(rounds):
-        lost = state.where("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] if dangling == "spread" else 0.0
+        lost = lost if dangling == "spread" else 0.0
         into = links.join(state.select(F.col("id").alias("a"), "score"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("into"))
         fresh = state.join(into, "id", "left").select("id", "t", "out", F.col("score").alias("was"), ((1 - damping) * F.col("t") + damping * (F.coalesce("into", F.lit(0.0)) + lost / n)).alias("score"))
         after = materialize(fresh, "rank")
-        delta = after.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+        delta, lost = after.agg(F.sum(F.abs(F.col("score") - F.col("was"))), ends).first()
         discard(state)
         state = after.drop("was")
         state._chronoloom_path = after._chronoloom_path
         if delta < tolerance:
             break
+    discard(links)
     return state.select("id", "score")
 
 
-def shortest_paths(pairs: DataFrame, seeds: DataFrame, nodes: DataFrame, limit: int = 64) -> DataFrame:
-    """(seed, id, distance) along directed pairs of weight 1; a node out of reach (or beyond `limit` hops) has a null distance."""
-    r = reach(pairs, seeds, limit).withColumnRenamed("depth", "distance")
-    # the result itself has one row per seed and node; the seeds are what a caller asks about
-    every = nodes.select("id").distinct().withColumn("seed", F.explode(F.array(*[F.lit(x[0]) for x in seeds.select("id").distinct().limit(MAX_SEEDS).collect()])))
+def shortest_paths(pairs: DataFrame, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, id, distance) along directed pairs of weight 1; a node out of reach has a null distance. The result has a row per seed and
+    node, so more than MAX_SEEDS seeds are an error: reach() gives the nodes in reach for any number of seeds."""
+    asked = [x[0] for x in seeds.select("id").where("id is not null").distinct().limit(MAX_SEEDS + 1).collect()]
+    if len(asked) > MAX_SEEDS:
+        raise ValueError(f"more than {MAX_SEEDS} seeds")
+    r = reach(pairs, seeds).withColumnRenamed("depth", "distance")
+    every = nodes.select("id").distinct().withColumn("seed", F.explode(F.array(*[F.lit(x) for x in asked]).cast("array<string>")))
     return every.join(r, ["seed", "id"], "left").select("seed", "id", "distance")
 
 
@@ -144,7 +156,7 @@ def _local_moves(graph: DataFrame, resolution: float, rounds: int) -> DataFrame:
     k = both.groupBy("a").agg(F.sum("w").alias("k"))
     two_m = both.agg(F.sum("w")).first()[0] or 1.0
     labels = materialize(k.select(F.col("a").alias("id"), "k", F.col("a").alias("c")), "labels")
-    quiet = 0
+    quiet, reached = 0, -1.0
     for i in range(rounds):
         tot = labels.groupBy("c").agg(F.sum("k").alias("tot"))
         near = both.where("a <> b").join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("inside"))
@@ -153,19 +165,28 @@ def _local_moves(graph: DataFrame, resolution: float, rounds: int) -> DataFrame:
         rows = near.unionByName(stay).groupBy("id", "c").agg(F.sum("inside").alias("inside")).join(own, "id").join(tot, "c")
         without = F.when(F.col("c") == F.col("mine"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
         gain = F.round(F.col("inside") - resolution * F.col("k") * without / two_m, 9)
-        best = rows.withColumn("gain", gain).groupBy("id").agg(F.max("k").alias("k"), F.max("mine").alias("mine"), F.max_by("c", F.struct("gain", F.col("c") == F.col("mine"), "c")).alias("to"))
+        best = rows.withColumn("gain", gain).groupBy("id").agg(F.max("k").alias("k"), F.max("mine").alias("mine"), F.max(F.when(F.col("c") == F.col("mine"), F.col("inside") - resolution * F.col("k") * F.col("tot") / two_m)).alias("q"), F.max_by("c", F.struct("gain", F.col("c") == F.col("mine"), "c")).alias("to"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        after = materialize(best.select("id", "k", F.when(turn, F.col("to")).otherwise(F.col("mine")).alias("c"), (turn & (F.col("to") != F.col("mine"))).alias("moved")), "labels")
-        quiet = 0 if after.where("moved").limit(1).count() else quiet + 1
-        labels = after.drop("moved")
+        after = materialize(best.select("id", "k", F.when(turn, F.col("to")).otherwise(F.col("mine")).alias("c"), (F.col("q") / two_m).alias("q"), (turn & (F.col("to") != F.col("mine"))).alias("moved")), "labels")
+        moved, q = after.agg(F.count_if("moved"), F.sum("q")).first()
+        quiet = quiet + 1 if not moved or q < reached + SETTLED else 0
+        reached = max(reached, q or 0.0)
+        discard(labels)
+        labels = after.drop("moved", "q")
+        labels._chronoloom_path = after._chronoloom_path
         if quiet == 2:
             break
-    return labels.select("id", F.col("c").alias("community"))
+    # a community that fell apart is several: each connected part is one, under its smallest node
+    la, lb = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    inside = graph.join(la, "a").join(lb, "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = connected_components(inside)
+    return labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
-def communities(graph: DataFrame, resolutions: tuple[float, ...] = (2.0, 1.0, 0.5), rounds: int = 12) -> DataFrame:
-    """(level, id, community): local moves on the nodes, then on the graph of the communities found, once per resolution. A
-    community is named by one of its nodes; level 0 is the finest."""
+def communities(graph: DataFrame, resolutions: tuple[float, ...] = (2.0, 1.0, 0.5), rounds: int = 30) -> DataFrame:
+    """(level, id, community): local moves on the nodes for as long as modularity grows by SETTLED within two rounds (and for `rounds` rounds
+    at most: moves made at the same time can undo each other for ever), then on the graph of the communities
+    found, once per resolution. A community is connected and named by its smallest node; level 0 is the finest."""
     level_graph, names = materialize(graph.select("a", "b", "w"), "level"), None
     out = None
     for level, r in enumerate(resolutions):

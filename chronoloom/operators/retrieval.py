@@ -6,7 +6,10 @@ Queries come as a DataFrame (q, text), so that one run answers many. Statistics
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from chronoloom.operators.bitemporal import is_active
 from chronoloom.operators.relational import top_k
 
 K1, B = 1.2, 0.75
+#: Query vectors that are sent to all tasks at a time.
+QUERIES = 2000
 #: Constant of reciprocal rank fusion, trust weights by tier, boosts.
 RRF_K, TRUST, PACKAGE_BOOST, TASK_BOOST = 60, {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.5}, 0.15, 0.3
 #: Words of questions about the whole and about parts; types that a task favours.
@@ -27,26 +32,28 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1))
 
 
-def inverted_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of docs (id, text): postings have (term, id, tf), lengths (id, dl)."""
+def inverted_index(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, id, tf, dl): postings of the wanted terms (term) in docs (id, text), with each document's length. Other terms end at the join,
+    before anything is shuffled."""
     d = docs.select("id", terms(F.col("text")).alias("t"))
-    postings = d.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, d.select("id", F.size("t").alias("dl"))
+    rows = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(q, id, score, norm): the k best documents (id, text) that have every term of a query (q, text); norm runs from 0 to 1 over them."""
-    postings, lengths = inverted_index(docs)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    postings = inverted_index(docs, asked)
+    # one row of totals
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col("text")))).alias("avgdl"))
     need = asked.groupBy("q").agg(F.count(F.lit(1)).alias("need"))
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = postings.join(asked, "term").join(df, "term").join(lengths, "id").join(F.broadcast(stats))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = postings.join(df, "term").join(asked, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("q", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("have")).join(need, "q").where("have = need")
     best = top_k(scored.withColumn("score", F.round("score", 9)), ["q"], [F.desc("score"), F.asc("id")], k).select("q", "id", "score")
-    w = Window.partitionBy("q")
+    w = Window.partitionBy("q")  # k rows a query
     low, high = F.min("score").over(w), F.max("score").over(w)
     return best.withColumn("norm", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0))
 
@@ -59,11 +66,50 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 15, least: float = 0.3) -> DataFrame:
-    """(q, id, score): the k most similar vectors (id, v) to each query (q, v), at least `least` similar. Exact, over all vectors: a stated,
-    small query set is held against every row, in blocks of rows."""
-    hit = vectors.select("id", F.col("v").alias("y")).join(F.broadcast(queries.select("q", F.col("v").alias("x"))))
-    scored = hit.select("q", "id", F.round(cosine(F.col("x"), F.col("y")), 9).alias("score")).where(F.col("score") >= least)
-    return top_k(scored, ["q"], [F.desc("score"), F.asc("id")], k).select("q", "id", "score")
+    """(q, id, score): the k most similar vectors (id, v) to each query (q, v), at least `least` similar. Exact: a stated query set is held
+    against every row, in blocks of QUERIES queries that are sent to all tasks, by matrix products on Arrow batches; each batch gives k rows
+    a query at most. Rows and queries without a vector, with NaN, or of different lengths have no score; all zeros have 0."""
+    queries = queries.select("q", "v").where("v is not null")
+    blocks = max(1, -(-queries.count() // QUERIES))
+    types = dict(queries.dtypes)["q"], dict(vectors.dtypes)["id"]
+    out = None
+    for i in range(blocks):
+        rows = [(r["q"], np.array(r["v"], np.float64)) for r in queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()]
+        found = vectors.select("id", "v").where("v is not null").mapInArrow(_most_similar(rows, k, least), f"q {types[0]}, id {types[1]}, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, ["q"], [F.desc("score"), F.asc("id")], k).select("q", "id", "score")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.where(np.isnan(n), np.nan, 0.0) * np.ones_like(m), where=n > 0)
+
+
+def _most_similar(rows: list[tuple], k: int, least: float):
+    sides = {}
+    for n in {len(v) for _, v in rows}:
+        own = [(q, v) for q, v in rows if len(v) == n]
+        sides[n] = [q for q, _ in own], _unit(np.array([v for _, v in own]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for n, (names, x) in sides.items():
+                own = b.filter(pa.array(sizes == n))
+                if not own.num_rows or not n:
+                    continue
+                y = own.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(own.num_rows, n)
+                s = np.round(x @ _unit(y).T, 9)
+                ids = own.column("id")
+                for i, name in enumerate(names):
+                    hit = np.flatnonzero(s[i] >= least)
+                    if len(hit) > k:
+                        # all that tie with the k-th stay, so that ids can decide
+                        hit = hit[s[i][hit] >= np.partition(s[i][hit], -k)[-k]]
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit)), ids.take(pa.array(hit)), pa.array(s[i][hit])], names=["q", "id", "score"])
+
+    return search
 
 
 def query_terms(text: str) -> list[str]:

@@ -2,14 +2,19 @@
 
 A tree stands for one entity and time shard of 2**HEIGHT days. Node (level, idx) holds the sums and counts of the days
 [idx * 2**level, (idx + 1) * 2**level), so a node's shard is idx >> (HEIGHT - level). A trailing window is the union of
-O(log window) nodes; a late correction touches its day's HEIGHT + 1 ancestors and nothing else.
+O(log window) nodes; a late correction touches its day's HEIGHT + 1 ancestors and nothing else. StoredTree keeps the nodes as
+a table in folders by time shard: a correction reads and rewrites the folders of its days only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.session import discard, drop_at_exit, materialize, shared_dir
+
 #: A shard of a tree spans 2**HEIGHT days.
 HEIGHT = 6
 #: Sums are exact decimals: order of addition cannot change them, and corrections can be taken back.
@@ -67,12 +72,13 @@ def build_tree(leaves: DataFrame) -> DataFrame:
     return ancestors(leaves).groupBy("entity", "level", "idx").agg(*_sum_measures())
 
 
-def correct_tree(tree: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The tree after late corrections. deltas: leaves whose measures are to be added (negative to take back).
+def correct_tree(tree: DataFrame, deltas: DataFrame, summed: bool = False) -> DataFrame:
+    """The tree after late corrections. deltas: leaves whose measures are to be added (negative to take back), or, if summed, the nodes above
+    them.
 
     Only ancestors of corrected days are touched: all other nodes pass through a left join on the few changed keys.
     """
-    change = build_tree(deltas).select("entity", "level", "idx", *[F.col(m).alias(f"d_{m}") for m in MEASURES])
+    change = (deltas if summed else build_tree(deltas)).select("entity", "level", "idx", *[F.col(m).alias(f"d_{m}") for m in MEASURES])
     kept = tree.join(change.select("entity", "level", "idx"), ["entity", "level", "idx"], "left_anti")
     touched = change.join(tree, ["entity", "level", "idx"], "left").select(
         "entity",
@@ -102,14 +108,52 @@ def window_cover(first: str, last: str) -> Column:
     )
 
 
-def window_parts(leaves: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+def corrections(entries: DataFrame, late: DataFrame) -> DataFrame:
+    """Leaves to add to the tree of `entries` when `late` entries come in: a late copy of a known entry takes the place of the one
+    before it, if it was received later; so the old measures of the touched ids are taken back and the new ones added."""
+    old = entries.join(late.select("entry_id").where("entry_id is not null").distinct(), "entry_id", "left_semi").select(*late.columns)
+    minus = daily_costs(old).select("entity", "day", *[(-F.col(m)).alias(m) for m in MEASURES])
+    return daily_costs(old.unionByName(late)).unionByName(minus).groupBy("entity", "day").agg(*_sum_measures()).where(" or ".join(f"{m} <> 0" for m in MEASURES))
+
+
+class StoredTree:
+    """A tree as a table in the shared folder, a folder per time shard."""
+
+    def __init__(self, leaves: DataFrame) -> None:
+        self.spark = leaves.sparkSession
+        self.path = f"{shared_dir(self.spark)}/tree-{uuid.uuid4().hex}"
+        rows = self._sharded(build_tree(leaves))
+        self.schema = rows.schema
+        rows.write.partitionBy("shard").parquet(self.path)
+        drop_at_exit(self.spark, self.path)
+
+    @staticmethod
+    def _sharded(tree: DataFrame) -> DataFrame:
+        return tree.withColumn("shard", F.expr(f"shiftright(idx, {HEIGHT} - level)"))
+
+    def nodes(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def correct(self, deltas: DataFrame) -> list[int]:
+        """Add deltas (leaves) to the ancestors of their days. Returns the shards that were rewritten: days / 2**HEIGHT at most."""
+        change = materialize(self._sharded(build_tree(deltas)), "change")
+        shards = sorted(r["shard"] for r in change.select("shard").distinct().collect())
+        if shards:
+            touched = self.nodes().where(F.col("shard").isin(shards)).drop("shard")
+            after = materialize(self._sharded(correct_tree(touched, change.drop("shard"), summed=True)), "corrected")
+            after.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(self.path)
+            discard(after)
+        discard(change)
+        return shards
+
+
+def window_parts(tree: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """(entity, day, window_days, measures of one tree node) for every node that covers a part of the window's days.
 
     Every day of an entity from its first to its last is there, also without entries (measures null). Before an entity's
-    first day nothing is counted.
+    first day nothing is counted. A day whose entries were all taken back is one without entries.
     """
-    tree = build_tree(leaves)
-    span = leaves.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    span = tree.where("level = 0 and calls > 0").withColumnRenamed("idx", "day").groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     days = (
         span.withColumn("day", F.explode(F.sequence("lo", "hi")))
         .withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows])))
@@ -122,15 +166,20 @@ def window_parts(leaves: DataFrame, windows: tuple[int, ...]) -> DataFrame:
 def rolling_totals(leaves: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(entity, day, window_days, measures) for every entity, every day from its first to its last, and each window."""
     filled = [F.coalesce(F.sum(m), F.lit(0)).cast(MONEY if m == "cost_sum" else "long").alias(m) for m in MEASURES]
-    return window_parts(leaves, windows).groupBy("entity", "day", "window_days").agg(*filled)
+    return window_parts(build_tree(leaves), windows).groupBy("entity", "day", "window_days").agg(*filled)
 
 
 def rolling_costs(entries: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """cost_windows() of the tree of cost entries. Timestamps below 1e11 are seconds. Empty input gives an empty result."""
+    return cost_windows(build_tree(daily_costs(entries)), windows)
+
+
+def cost_windows(tree: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """One row per provider and UTC day from its first to its last, with sums and averages over each trailing window.
 
     cost_sum_w and tokens_sum_w count a missing value as nothing. *_avg_w is the mean over the calls in the window that have
     the value (null if none has). *_per_day_w divides the sum by all w days. Provider names are compared trimmed and in
-    lower case; a missing one is (none). Timestamps below 1e11 are seconds. Empty input gives an empty result.
+    lower case; a missing one is (none). An empty tree gives an empty result.
     """
     cols = []
     for w in windows:
@@ -146,5 +195,5 @@ def rolling_costs(entries: DataFrame, windows: tuple[int, ...] = (7, 30)) -> Dat
             of["calls"].cast("long").alias(f"calls_{w}"),
         ]
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))
-    rows = window_parts(daily_costs(entries), windows).groupBy("entity", "day").agg(*cols)
+    rows = window_parts(tree, windows).groupBy("entity", "day").agg(*cols)
     return rows.select(F.col("entity").alias("provider"), day.alias("day"), *[c for c in rows.columns if c not in ("entity", "day")])

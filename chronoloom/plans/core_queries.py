@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.operators import orphans, rolling, snapshot_diff
 from chronoloom.sources.tables import table
@@ -33,7 +34,17 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return rolling.rolling_costs(table(spark, d, "cost_entries"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_summary, p6_rolling)}
+def p6_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The same result from a stored tree of what came in within an hour, to which all later entries are corrections."""
+    e = table(spark, d, "cost_entries")
+    late = F.coalesce(F.unix_millis(F.col("received_at").cast("timestamp")) - rolling.tidy_millis(F.col("timestamp")) > 3_600_000, F.lit(True))
+    first = e.where(~late)
+    tree = rolling.StoredTree(rolling.daily_costs(first))
+    tree.correct(rolling.corrections(first, e.where(late)))
+    return rolling.cost_windows(tree.nodes().drop("shard"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_summary, p6_rolling, p6_corrected)}
 
 _ORPHANS = """
 with n as (select lower(trim(id)) as ref_id, min(t_created) as p_created, min(archived_at) as p_archived from graph_nodes where id is not null group by 1),
@@ -71,3 +82,18 @@ select provider, date '1970-01-01' + d::int as day,
   case when tn30 > 0 then t30::double / tn30 end as tokens_avg_30, t30::double / 30 as tokens_per_day_30, k30::bigint as calls_30
 from w""",
 }
+ORACLE["p6_corrected"] = ORACLE["p6_rolling"]
+_RECORD = "list_sort(list_transform(list_filter(json_keys(x), lambda k: json_type(x, '$.\"' || k || '\"') <> 'NULL'), lambda k: k || '=' || case when json_type(x, '$.\"' || k || '\"') in ('UBIGINT', 'BIGINT', 'DOUBLE') then (json_extract(x, '$.\"' || k || '\"')::double)::varchar else json_extract(x, '$.\"' || k || '\"')::varchar end))"
+_CHANGES = f"""
+with s as (select repo_hash, timestamp, entities, edges from graph_snapshots where json_valid(entities) and json_valid(edges) qualify row_number() over (partition by repo_hash, timestamp order by snapshot_id) = 1),
+t as (select *, lag(timestamp) over w as before, lead(timestamp) over w as after from s window w as (partition by repo_hash order by timestamp)),
+r as (select repo_hash, timestamp, before, after, 'entity' as record_kind, unnest(from_json(entities, '["JSON"]')) as x from t union all
+  select repo_hash, timestamp, before, after, 'edge', unnest(from_json(edges, '["JSON"]')) from t),
+k as (select repo_hash, timestamp, any_value(before) as before, any_value(after) as after, record_kind, x->>'id' as record_id, list_sort(list(distinct {_RECORD})) as v from r where x->>'id' is not null group by all),
+c as (select a.repo_hash, a.timestamp, a.record_kind, a.record_id, case when b.record_id is null then 'added' when a.v <> b.v then 'changed' end as change
+  from k a left join k b on b.repo_hash = a.repo_hash and b.record_kind = a.record_kind and b.record_id = a.record_id and b.timestamp = a.before where a.before is not null
+  union all select a.repo_hash, a.after, a.record_kind, a.record_id, 'removed' from k a left join k b on b.repo_hash = a.repo_hash and b.record_kind = a.record_kind and b.record_id = a.record_id and b.timestamp = a.after
+  where a.after is not null and b.record_id is null)
+"""
+ORACLE["p3_found"] = _CHANGES + "select * from c where change is not null"
+ORACLE["p3_summary"] = _CHANGES + "select repo_hash, timestamp, record_kind, change, count(*) as n_records from c where change is not null group by all"

@@ -62,7 +62,7 @@ def upkeep_edges(spark: SparkSession, d: str) -> DataFrame:
 round((case when trust_tier = 2 then 0.0 else base_confidence * exp(-ln(2.0) / case when trust_tier = 1 then 30.0 when trust_tier = 4 then 7.0 when type = 'Convention' then 21.0 when type in ('Bug', 'Solution') then 7.0 else 14.0 end * case when trust_tier = 1 then .5 when trust_tier = 4 then 3.0 when type in ('Bug', 'Solution') then 1.5 else 1.0 end * days) end)::double, 6) as confidence
 from (select *, ({NOW} - last_accessed) / {DAY}.0::double as days from an)""")
 def upkeep_decay(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(is_active()).select("id", F.round(mt.importance_after(NOW), 6).alias("importance"), F.round(mt.confidence_after(NOW), 6).alias("confidence"))
+    return nodes(spark, d, is_active()).select("id", F.round(mt.importance_after(NOW), 6).alias("importance"), F.round(mt.confidence_after(NOW), 6).alias("confidence"))
 
 
 @query(f"select id from an where importance < .05 and edge_count = 0 and last_accessed < {NOW - 90 * DAY}")
@@ -88,19 +88,20 @@ def upkeep_stale_reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select coalesce(o.path, x.path) as path, coalesce(o.name, x.name) as name, case when o.name is null then 'insert' when x.name is null then 'invalidate' when o.content is not distinct from x.content then 'keep' else 'replace' end as action from (select file_paths[1] as path, name, min(content) as content from n where t_created < 1757000000000 and len(file_paths) > 0 group by all) o full join (select file_paths[1] as path, name, min(content) as content from an where len(file_paths) > 0 group by all) x on o.path = x.path and o.name = x.name")
 def upkeep_file_changes(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where("size(file_paths) > 0").withColumn("path", F.col("file_paths")[0])
+    n = nodes(spark, d, "size(file_paths) > 0").withColumn("path", F.col("file_paths")[0])
     side = lambda df: df.groupBy("path", "name").agg(F.min("content").alias("content"))
     return mt.file_changes(side(n.where("t_created < 1757000000000")), side(n.where(is_active())))
 
 
-@query()
+@query(f"""select a, b, type, round(s, 6) as similarity, case when s > .92 then 'merged' else 'related' end as verdict from (select a.id as a, b.id as b, a.type, {_jac("a.w", "b.w")} as s
+from (select id, type, {_W.format("content")} as w from an) a join (select id, type, {_W.format("content")} as w from an) b on a.type = b.type and a.id < b.id) where s > .5""")
 def upkeep_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return mt.content_pairs(nodes(spark, d))
 
 
 @query(f"select name as key, round(sum(importance * exp(-.01 * ({NOW} - created_at) / {DAY}.0::double)) / sum(exp(-.01 * ({NOW} - created_at) / {DAY}.0::double)), 6) as importance, max(trust_tier) as trust_tier, list_sort(list_distinct(flatten(list(tags)))) as tags from an group by name")
 def sync_merge(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(is_active()).withColumn("key", F.col("name"))
+    n = nodes(spark, d, is_active()).withColumn("key", F.col("name"))
     return mt.merged_importance(n, NOW).withColumn("importance", F.round("importance", 6))
 
 
@@ -114,11 +115,11 @@ def sync_clock(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, from_id, to_id from ae where from_id in (select id from an where visibility <> 'private') and to_id in (select id from an where visibility <> 'private')")
 def sync_push_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(is_active()).withColumn("synced_at", F.lit(None).cast("long")).withColumn("hlc_modified", F.col("t_created"))
+    n = nodes(spark, d, is_active()).withColumn("synced_at", F.lit(None).cast("long")).withColumn("hlc_modified", F.col("t_created"))
     from chronoloom.operators.bitemporal import edge_is_active
     from chronoloom.operators.relational import induced
 
-    return induced(edges(spark, d).where(edge_is_active()), mt.to_push(n).select("id")).select("id", "from_id", "to_id")
+    return induced(edges(spark, d, edge_is_active()), mt.to_push(n).select("id")).select("id", "from_id", "to_id")
 
 
 @query("""select rank_position, count(*) as n, round((case rank_position when 0 then 1.0 when 1 then .85 when 2 then .7 when 3 then .55 when 4 then .4 when 5 then .25 else .15 end * 5 + count(*) filter (event_type in ('click', 'purchase'))) / (count(*) + 5)::double, 9) as p,

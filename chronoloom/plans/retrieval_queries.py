@@ -10,6 +10,7 @@ from chronoloom.operators.bitemporal import is_active
 from chronoloom.operators.relational import symmetric
 from chronoloom.plans.sql import PRE
 from chronoloom.plans.temporal_queries import T0, events
+from chronoloom.session import materialize
 from chronoloom.sources.tables import edges, nodes, table
 
 QUERIES: dict = {}
@@ -44,7 +45,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 @query(_ASKED + _BM25.format(k=20) + "select q, id, score, round(norm, 6) as norm from bm")
 def retrieve_bm25(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(is_active())
+    n = nodes(spark, d, is_active())
     docs = n.select("id", F.concat_ws(" ", "name", "content", "summary", F.array_join("tags", " ")).alias("text"))
     return r.bm25(docs, questions(spark)).withColumn("norm", F.round("norm", 6))
 
@@ -70,9 +71,9 @@ def retrieve_graph(spark: SparkSession, d: str) -> DataFrame:
     return r.graph_channel(nodes(spark, d), symmetric(edges(spark, d)), spark.createDataFrame(_TERMS, "q string, term string"))
 
 
-def _with_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _with_vectors(spark: SparkSession, nodes_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Questions take the vector of the first node that one of their terms names, in lieu of a model; vectors of active nodes."""
-    n = nodes(spark, d).where(is_active() & F.forall("embedding", lambda x: ~F.isnan(x)) & (F.size("embedding") == 384))
+    n = nodes_.where(F.forall("embedding", lambda x: ~F.isnan(x)) & (F.size("embedding") == 384))
     v = n.select("id", F.col("embedding").alias("v"))
     t = spark.createDataFrame(_TERMS, "q string, term string")
     hit = n.select("id", "name", F.col("embedding").alias("v")).join(F.broadcast(t), F.lower("name").contains(F.lower("term")))
@@ -94,8 +95,11 @@ select q, id, type, round(score * importance * confidence * case trust_tier when
 
 @query(_HYBRID)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    q, v = _with_vectors(spark, d)
-    return r.hybrid_search(nodes(spark, d), symmetric(edges(spark, d)), q, v, task="bug-fix", package="packages/billing")
+    # six channels and joins read the nodes: they are made unique once
+    cols = ["id", "name", "type", "content", "summary", "tags", "importance", "confidence", "trust_tier", "package_path", "embedding", "t_valid_until", "archived_at"]
+    n = materialize(nodes(spark, d, is_active()).select(*cols), "active")
+    q, v = _with_vectors(spark, n)
+    return r.hybrid_search(n, symmetric(edges(spark, d)), q, v, task="bug-fix", package="packages/billing")
 
 
 @query("select session_id, tool_name, event_id, n, case when n <= 3 then 'normal' when n <= 8 then 'reduced' else 'blocked' end as mode from (select *, row_number() over (partition by session_id, tool_name order by occurred_at, event_id) as n from h where session_id is not null and tool_name is not null)")
@@ -105,14 +109,14 @@ def search_throttle(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select type, id, used from (select type, id, sum(length(content)) over (partition by type order by importance desc, id rows unbounded preceding) as used from an) where used <= 8000")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(is_active())
+    n = nodes(spark, d, is_active())
     return r.token_budget(n, "type", [F.desc("importance"), F.asc("id")], F.length("content"), 8000).select("type", "id", "used")
 
 
 @query(f"select id, list_transform(range(0, 16), lambda i: round(case when i = 0 then -.1 * log2(1 + days) + .5 else sin(log2(1 + days) * .01 * pow(10.0, 3 * (i - 1) / 14.0)) end, 6)) as features from (select id, greatest(({T0} - created_at) / 86400000.0, 0)::double as days from an)")
 def time_features(spark: SparkSession, d: str) -> DataFrame:
     days = (F.lit(T0) - F.col("created_at")) / F.lit(86_400_000.0)
-    return nodes(spark, d).where(is_active()).select("id", F.transform(r.time_features(days), lambda x: F.round(x, 6)).alias("features"))
+    return nodes(spark, d, is_active()).select("id", F.transform(r.time_features(days), lambda x: F.round(x, 6)).alias("features"))
 
 
 @query(f"""select an.id, case when f is null then 'unknown' when f <= created_at then 'fresh' when f - created_at <= {30 * 86_400_000} then 'stale' else 'rotten' end as state

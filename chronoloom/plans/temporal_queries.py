@@ -36,13 +36,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def hub(spark: SparkSession, d: str) -> DataFrame:
     """The node with most active edges into it."""
-    e = edges(spark, d).where(bt.edge_is_active()).where("to_id is not null")
+    e = edges(spark, d, bt.edge_is_active(), "to_id is not null")
     return e.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "id").limit(1).select("id")
 
 
 @query("select id, type, name from an")
 def scan_active(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(bt.is_active()).select("id", "type", "name")
+    return nodes(spark, d, bt.is_active()).select("id", "type", "name")
 
 
 @query("select id, type, name, importance from n where id = (select min(id) from n)")
@@ -54,14 +54,14 @@ def scan_point(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, package_path, kind from an where package_path = 'packages/billing' or kind = 'CodeSymbol'")
 def scan_scope(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(bt.is_active() & ((F.col("package_path") == "packages/billing") | (F.col("kind") == "CodeSymbol"))).select("id", "package_path", "kind")
+    return nodes(spark, d, bt.is_active() & ((F.col("package_path") == "packages/billing") | (F.col("kind") == "CodeSymbol"))).select("id", "package_path", "kind")
 
 
 @query("select id, from_id, to_id, type from ae where type in ('calls', 'imports', 'solves') and (from_id in (from hub) or to_id in (from hub))")
 def edges_of_node(spark: SparkSession, d: str) -> DataFrame:
     x = hub(spark, d).first()
     own = F.lit(False) if x is None else (F.col("from_id") == x[0]) | (F.col("to_id") == x[0])
-    return edges(spark, d).where(bt.edge_is_active() & F.col("type").isin("calls", "imports", "solves") & own).select("id", "from_id", "to_id", "type")
+    return edges(spark, d, bt.edge_is_active() & F.col("type").isin("calls", "imports", "solves") & own).select("id", "from_id", "to_id", "type")
 
 
 @query("select session_id, event_id, hook_event_name from h where session_id is not null qualify row_number() over (partition by session_id order by occurred_at desc, event_id desc) <= 3")
@@ -83,7 +83,7 @@ def asof_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select id, from_id, to_id from e where (t_valid_from is null or t_valid_from <= {T0}) and (t_valid_until is null or t_valid_until > {T0})")
 def asof_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).where(bt.valid_at(T0)).select("id", "from_id", "to_id")
+    return edges(spark, d, bt.valid_at(T0)).select("id", "from_id", "to_id")
 
 
 @query(f"select id, t_valid_until from n where t_valid_until <= {T0}")
@@ -121,7 +121,7 @@ def compaction(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select conflict_group_id, count(*) as n, count(distinct type) as n_types, max(importance) as top from an where conflict_group_id is not null group by 1")
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(bt.is_active() & F.col("conflict_group_id").isNotNull())
+    n = nodes(spark, d, bt.is_active() & F.col("conflict_group_id").isNotNull())
     return n.groupBy("conflict_group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("type").alias("n_types"), F.max("importance").alias("top"))
 
 
@@ -154,7 +154,7 @@ def status_rollup(spark: SparkSession, d: str) -> DataFrame:
 count(*) filter (confidence between 0.3 and 0.7) as stale, round(100.0 * count(*) filter (len(file_paths) > 0) / count(*), 1)::double as coverage from an group by trust_tier""")
 def freshness_report(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("confidence")
-    return nodes(spark, d).where(bt.is_active()).groupBy("trust_tier").agg(
+    return nodes(spark, d, bt.is_active()).groupBy("trust_tier").agg(
         F.round(F.avg(c.cast("decimal(12,6)")).cast("double"), 2).alias("avg_confidence"), F.count_if(c > 0.7).alias("fresh"), F.count_if(c < 0.3).alias("rotten"),
         F.count_if(c.between(0.3, 0.7)).alias("stale"), F.round(100.0 * F.count_if(F.size("file_paths") > 0) / F.count(F.lit(1)), 1).cast("double").alias("coverage"),
     )
@@ -162,7 +162,7 @@ def freshness_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select created_by, type, count(*) as n, max(created_at) as latest from an group by all")
 def knowledge_map(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(bt.is_active()).groupBy("created_by", "type").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("latest"))
+    return nodes(spark, d, bt.is_active()).groupBy("created_by", "type").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("latest"))
 
 
 @query("""select ae.to_id, ae.type as edge_type, count(*) as n, string_agg(case when r <= 5 then name end, ' | ' order by r) as sources from
@@ -195,14 +195,14 @@ def neighbour_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, from_id, to_id from ae where from_id in (select id from an where type = 'CodeEntity') and to_id in (select id from an where type = 'CodeEntity')")
 def induced_code(spark: SparkSession, d: str) -> DataFrame:
-    return rel.induced(edges(spark, d).where(bt.edge_is_active()), nodes(spark, d).where(bt.is_active() & (F.col("type") == "CodeEntity")).select("id")).select("id", "from_id", "to_id")
+    return rel.induced(edges(spark, d, bt.edge_is_active()), nodes(spark, d, bt.is_active() & (F.col("type") == "CodeEntity")).select("id")).select("id", "from_id", "to_id")
 
 
 @query("""select id, from_id, to_id from ae where (from_id in (select id from an where type = 'CodeEntity') and to_id in (select id from an where type in ('Decision', 'Convention', 'Bug')))
 or (to_id in (select id from an where type = 'CodeEntity') and from_id in (select id from an where type in ('Decision', 'Convention', 'Bug')))""")
 def knowledge_to_code(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(bt.is_active())
-    e = rel.between(edges(spark, d).where(bt.edge_is_active()), n.where("type = 'CodeEntity'"), n.where(F.col("type").isin("Decision", "Convention", "Bug")))
+    n = nodes(spark, d, bt.is_active())
+    e = rel.between(edges(spark, d, bt.edge_is_active()), n.where("type = 'CodeEntity'"), n.where(F.col("type").isin("Decision", "Convention", "Bug")))
     return e.select("id", "from_id", "to_id")
 
 
@@ -240,13 +240,13 @@ SHARING = [(None, None, "private"), (None, "Convention", "team"), ("packages/bil
 from an left join (values (null, null, 'private'), (null, 'Convention', 'team'), ('packages/billing', null, 'project'), ('packages/billing', 'Bug', 'private')) r(w, t, visibility)
 on (w is null or w = package_path) and (t is null or t = type) group by id""".replace("min_by(visibility", "min_by(r.visibility"))
 def sharing_rules(spark: SparkSession, d: str) -> DataFrame:
-    facts = nodes(spark, d).where(bt.is_active()).select("id", "type", F.col("package_path").alias("workspace"))
+    facts = nodes(spark, d, bt.is_active()).select("id", "type", F.col("package_path").alias("workspace"))
     return rel.applicable_rule(facts, spark.createDataFrame(SHARING, "workspace string, entity_type string, visibility string"))
 
 
 @query("select distinct session_id, 'orphaned' as status from h where session_id is not null and session_id not in (select session_id from an where session_id is not null)")
 def unprocessed_sessions(spark: SparkSession, d: str) -> DataFrame:
-    done = nodes(spark, d).where(bt.is_active() & F.col("session_id").isNotNull()).select("session_id", F.lit("done").alias("status")).distinct()
+    done = nodes(spark, d, bt.is_active() & F.col("session_id").isNotNull()).select("session_id", F.lit("done").alias("status")).distinct()
     return rel.unprocessed_sessions(events(spark, d), done)
 
 
@@ -266,19 +266,19 @@ def doctor_orphan_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, name from an where trust_tier < 4 and (lower(name) like '%token%' or lower(content) like '%token%' or lower(summary) like '%token%' or lower(name) like '%graph%' or lower(content) like '%graph%' or lower(summary) like '%graph%') and (kind is null or kind not in ('Bug', 'Solution'))")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where(bt.is_active() & bt.trusted_only() & bt.any_keyword(["token", "graph"], ["name", "content", "summary"]) & bt.kind_not_in("Bug", "Solution")).select("id", "name")
+    return nodes(spark, d, bt.is_active() & bt.trusted_only() & bt.any_keyword(["token", "graph"], ["name", "content", "summary"]) & bt.kind_not_in("Bug", "Solution")).select("id", "name")
 
 
 @query("select id from an where len(list_filter(tags, lambda x: lower(x) like '%token%')) > 0 or list_contains(file_paths, (select min(f) from (select unnest(file_paths) as f from an)))")
 def tag_or_file(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(bt.is_active())
+    n = nodes(spark, d, bt.is_active())
     least = n.select(F.explode("file_paths").alias("f")).agg(F.min("f")).first()[0]
     return n.where(bt.any_tag_like("token") | F.array_contains("file_paths", least or "")).select("id")
 
 
 @query("select package_path, count(*) filter (type = 'Bug') as bugs, count(*) as recent, sum(coalesce(x.degree, 0)) as links, floor(.4 * least(20 * count(*) filter (type = 'Bug'), 100) + .35 * least(15 * count(*), 100) + .25 * least(5 * sum(coalesce(x.degree, 0)), 100) + .5) as risk, case when risk > 70 then 'HIGH' when risk >= 40 then 'MEDIUM' else 'LOW' end as band from an left join (select id, count(*) as degree from (select from_id as id from ae union all select to_id from ae) where id is not null group by id) x on x.id = an.id where package_path is not null group by package_path")
 def qa_risk(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(bt.is_active() & F.col("package_path").isNotNull()).join(bt.degrees(edges(spark, d)), "id", "left")
+    n = nodes(spark, d, bt.is_active() & F.col("package_path").isNotNull()).join(bt.degrees(edges(spark, d)), "id", "left")
     g = n.groupBy("package_path").agg(F.count_if(F.col("type") == "Bug").alias("bugs"), F.count(F.lit(1)).alias("recent"), F.sum(F.coalesce("degree", F.lit(0))).alias("links"))
     part = lambda w, k, c: w * F.least(k * F.col(c), F.lit(100))
     risk = F.floor(part(0.4, 20, "bugs") + part(0.35, 15, "recent") + part(0.25, 5, "links") + 0.5)

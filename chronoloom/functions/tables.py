@@ -168,8 +168,11 @@ def prohibitions(docs: DataFrame) -> DataFrame:
 def violations(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """(event_id, id): tool calls whose text has every keyword of a prohibition with at least two. calls: (event_id, text).
 
-    Calls meet a rule through its longest keyword, so each call's words are joined once instead of every call with every rule.
+    A keyword may stand within a word. Calls meet a rule through the first three letters of its longest keyword: of a call's trigrams only
+    those that some rule begins with go on to the join.
     """
-    r = rules.where(F.size("keywords") >= 2).withColumn("lead", F.array_sort("keywords", lambda a, b: F.length(b) - F.length(a))[0])
-    words = calls.select("event_id", F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9-]+")).alias("w")).select("event_id", "w", F.explode("w").alias("lead"))
-    return words.join(r, "lead").where(F.size(F.array_except("keywords", "w")) == 0).select("event_id", "id").distinct()
+    r = rules.where(F.size("keywords") >= 2).withColumn("gram", F.substring(F.array_sort("keywords", lambda a, b: F.length(b) - F.length(a))[0], 1, 3))
+    t = calls.select("event_id", F.lower("text").alias("t")).where(F.length("t") >= 3)
+    grams = t.select("event_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.col("t").substr(i, F.lit(3))))).alias("gram"))
+    met = grams.join(r.select("gram").distinct(), "gram", "left_semi").join(r.select("id", "keywords", "gram"), "gram")
+    return met.where(F.forall("keywords", lambda k: F.col("t").contains(k))).select("event_id", "id").distinct()

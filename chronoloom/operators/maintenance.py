@@ -209,7 +209,7 @@ def peer_verdict(name_similarity: Column, cosine: Column) -> Column:
 def merged_importance(rows: DataFrame, now: int) -> DataFrame:
     """(key, importance, trust_tier, tags): nodes of one key merged: importance weighted by e**(-0.01 days), best known tier, all tags."""
     w = F.exp(-0.01 * (F.lit(now) - F.col("created_at")) / F.lit(float(DAY)))
-    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>"))))))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>"))))))
     return rows.groupBy("key").agg((F.sum(F.col("importance") * w) / F.sum(w)).alias("importance"), F.max("trust_tier").alias("trust_tier"), tags.alias("tags"))
 
 

@@ -79,15 +79,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refs = (
         refs.select("table_name", "field", "record_id", tidy.alias("ref_id"), F.col("ref_ms").cast("long").alias("ref_ms"))
         .where(F.col("ref_id") != "")
-        .distinct()
     )
-    parents = (
+    # the filter, its size and the join read the parents' few columns: one row per key, made once
+    parents = materialize(
         parents.where(F.col("id").isNotNull())
         .groupBy(F.lower(F.trim(F.col("id"))).alias("ref_id"))
         .agg(
             F.min(F.coalesce(F.col("t_created").cast("long"), F.lit(-(2**62)))).alias("p_created"),
             F.min(F.col("archived_at").cast("long")).alias("p_archived"),
-        )
+        ),
+        "parents",
     )
     seen = may_exist(key_filter(parents, "ref_id"), "ref_id")
     refs = materialize(refs.withColumn("maybe", F.coalesce(seen, F.lit(False))), "refs")
@@ -100,7 +101,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .when(F.col("p_archived") <= F.col("ref_ms"), "archived")
     )
     found = checked.select(*cols, reason.alias("reason")).where(F.col("reason").isNotNull())
-    return absent.unionByName(found).withColumn("period", millis_to_period(F.col("ref_ms")))
+    # only orphans are compared with one another; references that are in order never meet their copies
+    return absent.unionByName(found).distinct().withColumn("period", millis_to_period(F.col("ref_ms")))
 
 
 def graph_references(edges: DataFrame, members: DataFrame, communities: DataFrame) -> DataFrame:

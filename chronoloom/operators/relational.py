@@ -25,9 +25,12 @@ def backlinks(edges: DataFrame, nodes: DataFrame, target: DataFrame) -> DataFram
     e = edges.where(edge_is_active()).join(target.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     src = nodes.where(is_active()).select(F.col("id").alias("from_id"), "name", "importance")
     rows = e.select("to_id", "from_id", F.col("type").alias("edge_type"), F.col("id").alias("edge_id")).join(src, "from_id")
-    w = Window.partitionBy("to_id", "edge_type").orderBy(F.desc("importance"), "from_id", "edge_id")
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name")))), lambda x: x["name"])
-    return rows.withColumn("r", F.row_number().over(w)).groupBy("to_id", "edge_type").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(" | ", names).alias("sources"))
+    # a target may have a tenth of all edges: they are counted on the way, and only five of them are brought together
+    by = ["to_id", "edge_type"]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    first = top_k(rows, by, [F.desc("importance"), F.asc("from_id"), F.asc("edge_id")], 5)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"])
+    return counts.join(first.groupBy(*by).agg(F.concat_ws(" | ", names).alias("sources")), by)
 
 
 def community_leaders(members: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
@@ -106,11 +109,14 @@ def applicable_rule(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: workspace?, entity_type?, visibility; a small table of settings. Facts without a rule are private.
     """
-    r = rules.select(F.col("workspace").alias("_w"), F.col("entity_type").alias("_t"), "visibility")
-    hit = facts.join(r, (F.col("_w").isNull() | (F.col("_w") == F.col("workspace"))) & (F.col("_t").isNull() | (F.col("_t") == F.col("type"))), "left")
-    rank = F.when(F.col("_w").isNotNull() & F.col("_t").isNotNull(), 0).when(F.col("_w").isNotNull(), 1).when(F.col("_t").isNotNull(), 2).otherwise(3)
-    best = hit.groupBy("id").agg(F.min_by("visibility", F.struct(rank, "visibility")).alias("visibility"))
-    return best.withColumn("visibility", F.coalesce("visibility", F.lit("private")))
+    # a rule without workspace or type stands under a mark; each fact asks for its four keys, so that the join is on equal keys
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("*"))
+    r = rules.select(mark(F.col("workspace")).alias("_w"), mark(F.col("entity_type")).alias("_t"), "visibility")
+    any_ = F.lit("*")
+    keys = [(mark(F.col("workspace")), mark(F.col("type"))), (mark(F.col("workspace")), any_), (any_, mark(F.col("type"))), (any_, any_)]
+    asked = facts.select("id", F.inline(F.array(*[F.struct(F.lit(i).alias("_rank"), w.alias("_w"), t.alias("_t")) for i, (w, t) in enumerate(keys)])))
+    best = asked.join(r, ["_w", "_t"]).groupBy("id").agg(F.min_by("visibility", F.struct("_rank", "visibility")).alias("visibility"))
+    return facts.select("id").distinct().join(best, "id", "left").withColumn("visibility", F.coalesce("visibility", F.lit("private")))
 
 
 def unprocessed_sessions(events: DataFrame, processed: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from chronoloom.session import materialize
 
-#: Snapshots handled per Arrow batch in Python; each holds two JSON texts.
 RECORD_SCHEMA = "snapshot_id long, repo_hash string, timestamp long, received_at timestamp_ntz, record_kind string, record_id string, h binary"
 
 

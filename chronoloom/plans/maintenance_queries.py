@@ -42,10 +42,13 @@ def upkeep_consolidate(spark: SparkSession, d: str) -> DataFrame:
     return mt.consolidate(facts, n).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("select id, case when created_at + 604800000 < 1757000000000 then 'expired' when confidence < .75 then 'quarantined' else 'passed' end as status, case when created_at + 604800000 >= 1757000000000 and confidence < .75 then 'low_confidence' end as reason from n where trust_tier = 4 and not regexp_matches(content, '(?i)\\b(remember to always|from now on|ignore previous|system prompt)\\b|\\{[\"\\s]*[a-z_]+[\"\\s]*:') and not regexp_matches(content, '(?i)\\b(this is mandatory|you must always|never forget|team convention|project rule|always do|never do|mandatory practice|required by|disregard|override instructions|you are now)\\b')")
+_INJECTION = "least(1.0, " + " + ".join("case when regexp_matches(t, '" + p.replace("'", "''") + "') then .4 else 0 end" for _, p in tx.INJECTION) + " + case when len(w) > 0 and len(regexp_extract_all(t, '" + tx.IMPERATIVES.replace("'", "''") + "')) / len(w) > .15 then .3 else 0 end)"
+
+
+@query(f"""select id, case when old then 'expired' when s > .3 or confidence < .75 then 'quarantined' else 'passed' end as status, case when old then null when s > .3 then 'pattern_injection' when confidence < .75 then 'low_confidence' end as reason from
+(select *, created_at + 604800000 < 1757000000000 as old, {_INJECTION} as s from (select *, content as t, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') as w from n where trust_tier = 4))""")
 def upkeep_staging(spark: SparkSession, d: str) -> DataFrame:
-    staged = mt.stage(nodes(spark, d)).where(tx.injection_score(F.col("proposed_content")) < 0.35)
-    return mt.promote(staged, T0)
+    return mt.promote(mt.stage(nodes(spark, d)), T0)
 
 
 @query("""select from_id, to_id, type, weight from (select a.id as from_id, b.id as to_id,
@@ -86,9 +89,9 @@ def upkeep_stale_reads(spark: SparkSession, d: str) -> DataFrame:
     return mt.stale_reads(n, mt.dependencies(n, edges(spark, d)), mtimes)
 
 
-@query("select coalesce(o.path, x.path) as path, coalesce(o.name, x.name) as name, case when o.name is null then 'insert' when x.name is null then 'invalidate' when o.content is not distinct from x.content then 'keep' else 'replace' end as action from (select file_paths[1] as path, name, min(content) as content from n where t_created < 1757000000000 and len(file_paths) > 0 group by all) o full join (select file_paths[1] as path, name, min(content) as content from an where len(file_paths) > 0 group by all) x on o.path = x.path and o.name = x.name")
+@query("select coalesce(o.path, x.path) as path, coalesce(o.name, x.name) as name, case when o.name is null then 'insert' when x.name is null then 'invalidate' when o.content is not distinct from x.content then 'keep' else 'replace' end as action from (select path, name, min(content) as content from (select unnest(file_paths) as path, * from n where t_created < 1757000000000) group by path, name) o full join (select path, name, min(content) as content from (select unnest(file_paths) as path, * from an) group by path, name) x on o.path = x.path and o.name = x.name")
 def upkeep_file_changes(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d, "size(file_paths) > 0").withColumn("path", F.col("file_paths")[0])
+    n = nodes(spark, d).withColumn("path", F.explode("file_paths"))
     side = lambda df: df.groupBy("path", "name").agg(F.min("content").alias("content"))
     return mt.file_changes(side(n.where("t_created < 1757000000000")), side(n.where(is_active())))
 

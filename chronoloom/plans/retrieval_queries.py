@@ -120,9 +120,10 @@ def time_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select an.id, case when f is null then 'unknown' when f <= created_at then 'fresh' when f - created_at <= {30 * 86_400_000} then 'stale' else 'rotten' end as state
-from an left join (select file, max(last_accessed) as f from (select unnest(file_paths) as file, last_accessed from n) group by file) x on x.file = an.file_paths[1]""")
+from an left join (select id, max(f) as f from (select id, unnest(file_paths) as file from an) join (select file, max(last_accessed) as f from (select unnest(file_paths) as file, last_accessed from n) group by file) using (file) group by id) x using (id)""")
 def freshness_notes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
     files = n.select(F.explode("file_paths").alias("file"), "last_accessed").groupBy("file").agg(F.max("last_accessed").alias("f"))
-    a = n.where(is_active()).withColumn("file", F.try_element_at("file_paths", F.lit(1)))
-    return a.join(files, "file", "left").select("id", r.freshness(F.col("created_at"), F.col("f")).alias("state"))
+    a = n.where(is_active()).select("id", "created_at", "file_paths")
+    newest = a.select("id", F.explode("file_paths").alias("file")).join(files, "file").groupBy("id").agg(F.max("f").alias("f"))
+    return a.join(newest, "id", "left").select("id", r.freshness(F.col("created_at"), F.col("f")).alias("state"))

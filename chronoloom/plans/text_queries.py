@@ -75,9 +75,9 @@ def text_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).select("id", F.round(tx.word_jaccard(F.col("content"), F.col("summary")), 6).alias("j"))
 
 
-@query("select doc_id as id, url, " + _case(tx.SERVICES, "url") + " as service from (select doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s)>\\]\"'']+')) as url from documents)")
+@query("select id, url, " + _case(tx.SERVICES, "url") + " as service from (select event_id as id, unnest(regexp_extract_all(concat_ws(' ', tool_input, tool_response), 'https?://[^\\s)>\\]\"'']+')) as url from h)")
 def text_links(spark: SparkSession, d: str) -> DataFrame:
-    return tf.external_links(docs(spark, d).select("id", "text")).select("id", "url", "service")
+    return tf.external_links(events(spark, d).select(F.col("event_id").alias("id"), F.concat_ws(" ", "tool_input", "tool_response").alias("text"))).select("id", "url", "service")
 
 
 @query("select event_id, case when len(regexp_extract_all(coalesce(tool_response, ''), 'https?://([a-z0-9.]+)', 1)) > len(regexp_extract_all(coalesce(tool_response, ''), 'https?://(localhost|127\\.0\\.0\\.1)', 1)) then 4 when hook_event_name = 'Stop' then 1 when json_extract_string(tool_input, '$.file_path') is not null then 2 else 3 end as tier from h")
@@ -112,11 +112,16 @@ def text_symbols(spark: SparkSession, d: str) -> DataFrame:
     return tf.symbols(n)
 
 
-@query()
+_P = "(select pattern_id, event_id, content, matched_line from detected_patterns qualify row_number() over (partition by pattern_id) = 1)"
+
+
+@query(f"""select distinct event_id, id from (select id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(trim(p), '\\s+', ' ', 'g')), '[^a-z0-9-]+'), lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'with', 'any', 'use', 'into', 'from', 'that', 'this'))) as k
+from (select pattern_id as id, unnest(regexp_extract_all(content, '(?i)\\b(?:never|do not|don''t|must not|avoid)\\s+([^.\\n;]+)', 1)) as p from {_P}) where trim(p) <> '') r join {_P} c on len(k) >= 2 and len(list_filter(k, lambda x: contains(lower(matched_line), x))) = len(k)""")
 def text_violations(spark: SparkSession, d: str) -> DataFrame:
-    rules = tf.prohibitions(docs(spark, d).select("id", "text"))
-    calls = events(spark, d).select("event_id", F.concat_ws(" ", "tool_name", "tool_input").alias("text"))
-    return tf.violations(calls, rules)
+    """Lines in which detected patterns were found, held against what the patterns forbid."""
+    p = table(spark, d, "detected_patterns").dropDuplicates(["pattern_id"])
+    rules = tf.prohibitions(p.select(F.col("pattern_id").alias("id"), F.col("content").alias("text")))
+    return tf.violations(p.select("event_id", F.col("matched_line").alias("text")), rules)
 
 
 @query("select id, kind from (select doc_id as id, case when c > 0 and p > 0 then case when c > 2 * p then 'code' when p > 2 * c then 'nl' else 'mixed' end when c > 0 then 'code' else 'nl' end as kind from (select doc_id, ("

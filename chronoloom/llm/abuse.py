@@ -11,6 +11,7 @@ The labelled sample and hence the index are bounded (MAX_LABELLED); idf counts a
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -36,8 +37,8 @@ NEAREST, LEAST = 7, 0.35
 #: Examples per block of the index; examples with the same heaviest words stand together.
 BLOCK = 16
 #: A word is telling if its rate in passages of labelled documents called abusive is this many times that in the others' passages, among
-#: which so many from all documents are mixed.
-TELLING, MIXED = 3.0, 1000
+#: which so many from all documents are mixed, and if chance alone would give as many with this probability at most.
+TELLING, MIXED, CHANCE = 3.0, 1000, 0.05
 #: Nearest passages of other documents with telling words that are asked whether a passage of a labelled document is abusive, and how
 #: much they must weigh together, in squared cosines, to decide it.
 OPINIONS, ENOUGH = 15, 0.25
@@ -334,14 +335,33 @@ class ExampleIndex:
         return (votes / (total + 0.02) if total else 0.0), best, cosine
 
 
-def telling_words(tokens: list[tuple[str, ...]], share: np.ndarray, df_counts: dict[str, int], n_passages: int) -> frozenset[str]:
-    """The words that passages of documents called abusive have TELLING times as often as others."""
+def telling_words(tokens: list[tuple[str, ...]], share: np.ndarray, df_counts: dict[str, int], n_passages: int, docs: list[int] | None = None) -> frozenset[str]:
+    """The words that passages of documents called abusive have TELLING times as often as others, and that more of these documents have
+    than passages would by chance: few labels prove little of common words, and one document repeats its own. docs: the passages' documents,
+    each its own if not given."""
+    within: dict[str, set[int]] = {}
+    for d, t, x in zip(docs or range(len(tokens)), tokens, share, strict=True):
+        if x >= 0.5:
+            for w in set(t):
+                within.setdefault(w, set()).add(d)
     bad, fine = Counter(), Counter()
     for t, x in zip(tokens, share, strict=True):
         (bad if x >= 0.5 else fine).update(set(t))
     n_bad = int((share >= 0.5).sum())
     n_fine = len(tokens) - n_bad + MIXED
-    return frozenset(w for w, n in bad.items() if n * n_fine >= TELLING * n_bad * (fine[w] + MIXED * df_counts.get(w, 0) / max(1, n_passages)))
+
+    def tells(n: int, n_docs: int, expected: float) -> bool:
+        if n < TELLING * expected or n_docs <= expected:
+            return False
+        if expected > 100:
+            return n_docs > expected + 2 * math.sqrt(expected)
+        term = below = math.exp(-expected)  # Poisson: the chance of fewer than n_docs
+        for i in range(1, n_docs):
+            term *= expected / i
+            below += term
+        return 1 - below <= CHANCE
+
+    return frozenset(w for w, n in bad.items() if tells(n, len(within[w]), n_bad * (fine[w] + MIXED * df_counts.get(w, 0) / max(1, n_passages)) / n_fine))
 
 
 def calibration(scores: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +401,7 @@ def build_index(labelled: pd.DataFrame, df_counts: dict[str, int], n_passages: i
     per_doc: dict[int, list[int]] = {}
     for i, d in enumerate(docs):
         per_doc.setdefault(d, []).append(i)
-    telling = telling_words(tokens, share, df_counts, n_passages)
+    telling = telling_words(tokens, share, df_counts, n_passages, docs)
     weight = np.array([sum(idf.get(w, rare) for w in telling.intersection(t)) for t in tokens], float)
 
     def once(which: np.ndarray, label: np.ndarray) -> ExampleIndex:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import LINE_RULES, SENTENCE_TYPES, first_match, service_of
+from chronoloom.functions.text import COMMIT_RULES, LINE_RULES, SENTENCE_TYPES, first_match, service_of
 
 LINE_CHUNK = 2048
 
@@ -61,13 +61,27 @@ SYMBOLS = {
     "rust": {"function": r"\bfn\s+(\w+)", "class": r"\b(?:struct|enum|trait)\s+(\w+)", "import": r"\buse\s+([\w:]+)", "export": r"\bpub\s+(?:fn|struct|enum|trait)\s+(\w+)"},
     "go": {"function": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)", "class": r"\btype\s+(\w+)\s+(?:struct|interface)", "import": r"""(?m)^\s*(?:import\s+)?"([\w./-]+)"$""", "export": r"\bfunc\s+(?:\([^)]*\)\s*)?([A-Z]\w*)"},
     "java": {"function": r"\b(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(", "class": r"\b(?:class|interface|enum|record)\s+(\w+)", "import": r"\bimport\s+(?:static\s+)?([\w.]+)", "export": r"\bpublic\s+(?:class|interface|enum|record)\s+(\w+)"},
+    "kotlin": {"function": r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)", "class": r"\b(?:class|interface|object)\s+(\w+)", "import": r"(?m)^\s*import\s+([\w.]+)"},
+    "swift": {"function": r"\bfunc\s+(\w+)", "class": r"\b(?:class|struct|enum|protocol|actor)\s+(\w+)", "import": r"(?m)^\s*import\s+(\w+)"},
+    "php": {"function": r"\bfunction\s+&?(\w+)", "class": r"\b(?:class|interface|trait|enum)\s+(\w+)", "import": r"(?m)^\s*use\s+([\w\\]+)"},
+    "ruby": {"function": r"\bdef\s+(?:self\.)?(\w+[?!]?)", "class": r"(?m)^\s*(?:class|module)\s+([\w:]+)", "import": r"""\brequire(?:_relative)?\s+["']([^"']+)["']"""},
+    "scala": {"function": r"\bdef\s+(\w+)", "class": r"\b(?:class|object|trait)\s+(\w+)", "import": r"(?m)^\s*import\s+([\w.]+)"},
+    "elixir": {"function": r"\bdefp?\s+(\w+[?!]?)", "class": r"\bdefmodule\s+([\w.]+)", "import": r"(?m)^\s*(?:import|alias|use|require)\s+([\w.]+)"},
+    "dart": {"function": r"(?m)^\s*(?:[\w<>?]+\s+)+(\w+)\s*\([^;{]*\)\s*(?:async\s*)?(?:\{|=>)", "class": r"\b(?:class|mixin|extension)\s+(\w+)", "import": r"""(?m)^\s*import\s+["']([^"']+)["']"""},
     "c": {"function": r"(?m)^[A-Za-z_][\w\s*]*\s\*?(\w+)\s*\([^;{]*\)\s*\{", "class": r"\b(?:struct|enum|union|class)\s+(\w+)", "import": r"""(?m)^\s*#include\s+[<"]([^>"]+)[>"]""", "export": r"\bextern\s+[\w\s*]+?(\w+)\s*\("},
 }
-LANGUAGE = {"ts": "script", "tsx": "script", "js": "script", "jsx": "script", "mjs": "script", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "java", "cs": "java", "c": "c", "h": "c", "cpp": "c", "hpp": "c"}
+LANGUAGE = {
+    "ts": "script", "tsx": "script", "js": "script", "jsx": "script", "mjs": "script", "cjs": "script", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "cs": "java",
+    "swift": "swift", "php": "php", "rb": "ruby", "scala": "scala", "ex": "elixir", "exs": "elixir", "dart": "dart", "c": "c", "h": "c", "cpp": "c", "hpp": "c",
+}
+#: A name before a bracket is a call, unless it is a word of a language or of its own definition.
+CALL = r"([A-Za-z_]\w*)\s*\("
+NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "throw", "typeof", "await", "else", "case", "do", "in", "of", "try", "yield", "import", "require", "def", "defp", "class", "fn", "func", "fun", "function", "pub", "async", "self", "super", "this", "new", "use", "match", "when", "with", "not", "and", "or", "lambda", "sizeof", "elif", "except", "assert", "print")
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """(id, language, category, name), each once per file, of files (id, path, text); the ending of the path tells the language."""
+    """(id, language, category, name), each once per file, of files (id, path, text); the ending of the path tells the language. Categories are
+    function, class, import, export and call; a call is of a name that the file neither defines nor imports."""
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGE.items() for x in kv])[ending]
     rows = files.where("text is not null").withColumn("language", language).where("language is not null")
@@ -78,7 +92,10 @@ def symbols(files: DataFrame) -> DataFrame:
 
     found = [F.when(F.col("language") == lang, named(c, p)) for lang, rules in SYMBOLS.items() for c, p in rules.items()]
     empty = F.array().cast("array<struct<category:string,name:string>>")
-    return rows.select("id", "language", F.inline(F.concat(*[F.coalesce(f, empty) for f in found])))
+    rows = rows.select("id", "language", "text", F.concat(*[F.coalesce(f, empty) for f in found]).alias("s"))
+    own = F.transform("s", lambda x: x["name"])
+    calls = F.filter(named("call", CALL), lambda x: ~x["name"].isin(*NO_CALLS) & ~F.array_contains(own, x["name"]))
+    return rows.select("id", "language", F.inline(F.concat("s", calls)))
 
 
 def _chunks(cut: Callable[[str], list[tuple[str, str]]], docs: DataFrame) -> DataFrame:
@@ -157,6 +174,43 @@ def failures(docs: DataFrame) -> DataFrame:
     return rows.select("id", F.substring_index("l", "::", 1).alias("file"), F.regexp_extract("l", r"::(\S+)\s+-\s+", 1).alias("test"), F.trim(F.regexp_extract("l", r"\s+-\s+(.+)$", 1)).alias("error"))
 
 
+def block_failures(docs: DataFrame) -> DataFrame:
+    """(id, file, test, error) of failing tests in the output of runners that list them under their file: a line with the file and how many
+    failed, lines with a cross and a test's name, and an arrow with its error (without one: Test failed)."""
+    blocks = F.filter(F.split("text", r"(?m)^\s*❯\s+(?=\S+\.(?:test|spec)\.\S+\s+\([^)]*failed)"), lambda b: b.rlike(r"^\S+\.(?:test|spec)\.\S+\s+\([^)]*failed"))
+    rows = docs.where("text is not null").select("id", F.explode(blocks).alias("b"))
+    tests = rows.select("id", F.regexp_extract("b", r"^(\S+)", 1).alias("file"), F.explode(F.filter(F.split("b", "×\\s+"), lambda x: ~x.rlike(r"^\S+\.(?:test|spec)\."))).alias("t"))
+    error = F.regexp_extract("t", r"→\s+(.+)", 1)
+    return tests.select("id", "file", F.trim(F.substring_index("t", "\n", 1)).alias("test"), F.when(error != "", F.trim(error)).otherwise("Test failed").alias("error"))
+
+
+def commit_facts(docs: DataFrame) -> DataFrame:
+    """(id, type, confidence, content): what the first line of a commit message says by its prefix; other messages say nothing."""
+    line = F.trim(F.substring_index("text", "\n", 1))
+    rules = F.array(*[F.when(line.rlike(p), F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), F.regexp_replace(line, p, "").alias("content"))) for t, p, c in COMMIT_RULES])
+    return docs.where("text is not null").select("id", F.inline(F.array_compact(rules)))
+
+
+def diff_files(docs: DataFrame) -> DataFrame:
+    """(id, line_no, path): files named by the lines of a diff: status lines with tabs (all their paths), stat lines with a bar, or bare
+    paths; a summary of how many files changed names none."""
+    t = F.trim("line")
+    status = F.filter(F.transform(F.split(t, "\t"), F.trim), lambda x: (x != "") & ~x.rlike(r"^[ACDMRTUX]\d*$"))
+    paths = F.when(t.rlike(r"^[ACDMRTUX]\d*\t"), status).when(t.contains("|"), F.array(F.trim(F.substring_index(t, "|", 1)))).when(t.rlike("[/.]"), F.array(t))
+    rows = numbered_lines(docs).where((t != "") & ~t.rlike(r"^\d+\s+files?\s+changed"))
+    return rows.select("id", "line_no", F.explode(paths).alias("path")).where("path <> ''")
+
+
+def markdown_parts(docs: DataFrame) -> DataFrame:
+    """(id, kind, value) of Markdown texts: every heading (with its marks), fenced code block (its body) and link to another file or anchor
+    (its target); links out of the repository are no part."""
+    def found(kind: str, pattern: str, group: int):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    parts = F.concat(found("heading", r"(?m)^(#{1,6}[ \t]+[^\n]+)", 1), found("code", r"(?s)```[A-Za-z]*\n(.*?)```", 1), found("link", r"\[[^\]\n]*\]\(([^)\s]+)\)", 1))
+    return docs.where("text is not null").select("id", F.inline(parts)).where("not (kind = 'link' and value rlike '^[a-z]+:')")
+
+
 def prohibitions(docs: DataFrame) -> DataFrame:
     """(id, prohibition, keywords): what a text forbids (never / do not / don't / must not / avoid ...), with its words of three letters and more."""
     found = F.regexp_extract_all("text", F.lit(r"(?i)\b(?:never|do not|don't|must not|avoid)\s+([^.\n;]+)"), F.lit(1))

@@ -97,15 +97,36 @@ def history_by_day(nodes: DataFrame, since: int, until: int) -> DataFrame:
     return nodes.where(F.col("created_at").between(since, until)).groupBy(day.alias("day"), "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def history_list(nodes: DataFrame, since: int, until: int, k: int = 100) -> DataFrame:
+    """The k newest nodes created within [since, until], newest first (ties: id)."""
+    return nodes.where(F.col("created_at").between(since, until)).orderBy(F.desc("created_at"), "id").limit(k)
+
+
+def as_of_edges(edges: DataFrame, t: int, k: int) -> DataFrame:
+    """The k heaviest edges valid at t (ties: id) with total, their number before the limit."""
+    live = edges.where(valid_at(t))
+    shown = live.orderBy(F.desc("weight"), "id").limit(k)
+    return shown.join(F.broadcast(live.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
+def totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows of each table, as one union of counts."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def digest(nodes: DataFrame, until: int, period: str) -> DataFrame:
     """(position, type, n, names): what became known in the period before `until`, in the fixed order of types, with the five most important names."""
     days = {"daily": 1, "weekly": 7, "monthly": 30}[period]
     order = ["Decision", "Convention", "Bug", "Solution", "Concept"]
     position = reduce(lambda acc, x: F.when(F.col("type") == x[1], x[0]).otherwise(acc), enumerate(order), F.lit(len(order)))
     w = Window.partitionBy("type").orderBy(F.desc("importance"), "id")
-    rows = nodes.where(is_active() & F.col("created_at").between(until - days * DAY, until)).withColumn("r", F.row_number().over(w))
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name")))), lambda x: x["name"])
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(" | ", names).alias("names")).withColumn("position", position)
+    rows = nodes.where(is_active() & F.col("created_at").between(until - days * DAY, until)).select("type", "name", "importance", "id")
+    # counted on the way; only five of a type are brought together
+    counts = rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"])
+    first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 5).groupBy(F.col("type").alias("t")).agg(F.concat_ws(" | ", names).alias("names"))
+    return counts.join(first, F.col("type").eqNullSafe(F.col("t"))).select("type", "n", "names").withColumn("position", position)
 
 
 def prune_archived(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

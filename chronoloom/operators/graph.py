@@ -210,14 +210,14 @@ def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def community_summaries(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(community_id, summary, summary_hash, member_count): five leading members as name: summary, and the hash of the sorted ids."""
+    """(community_id, summary, summary_hash, member_count): five leading members as name: summary, and a hash that tells whether members
+    changed: of their number and the sum of their ids' hashes, so that no list of all members is made."""
     rows = members.select("community_id", "entity_id").distinct().join(nodes.where(is_active()).select(F.col("id").alias("entity_id"), "name", "summary", "importance"), "entity_id")
-    w = Window.partitionBy("community_id").orderBy(F.desc("importance"), "entity_id")
-    lead = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", F.concat_ws(": ", "name", "summary").alias("t")))))
-    ids = F.array_sort(F.collect_list("entity_id"))
-    return rows.withColumn("r", F.row_number().over(w)).groupBy("community_id").agg(
-        F.array_join(F.transform(lead, lambda x: x["t"]), "; ").alias("summary"), F.sha2(F.array_join(ids, ","), 256).alias("summary_hash"), F.count(F.lit(1)).alias("member_count")
-    )
+    lead = F.array_sort(F.collect_list(F.struct("r", F.concat_ws(": ", "name", "summary").alias("t"))))
+    first = top_k(rows, ["community_id"], [F.desc("importance"), F.asc("entity_id")], 5).groupBy("community_id").agg(F.array_join(F.transform(lead, lambda x: x["t"]), "; ").alias("summary"))
+    ids = F.sum(F.conv(F.substring(F.md5("entity_id"), 1, 15), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
+    whole = rows.groupBy("community_id").agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), ids), 256).alias("summary_hash"), F.count(F.lit(1)).alias("member_count"))
+    return first.join(whole, "community_id").select("community_id", "summary", "summary_hash", "member_count")
 
 
 def landmarks(nodes: DataFrame, sym: DataFrame, k: int = 25, hops: int = 5) -> DataFrame:
@@ -227,7 +227,10 @@ def landmarks(nodes: DataFrame, sym: DataFrame, k: int = 25, hops: int = 5) -> D
 
 
 def estimated_distances(marks: DataFrame, ids: DataFrame, cap: int = 5) -> DataFrame:
-    """(a, b, distance) of all pairs of a few chosen ids: the shortest way over a landmark, at most `cap`, 0 to itself."""
+    """(a, b, distance) of all pairs of a few chosen ids (more than MAX_SEEDS are an error): the shortest way over a landmark, at most `cap`,
+    0 to itself."""
+    if ids.select("id").distinct().limit(MAX_SEEDS + 1).count() > MAX_SEEDS:
+        raise ValueError(f"more than {MAX_SEEDS} ids")
     own = marks.join(ids.select("id").distinct(), "id", "left_semi")
     via = own.select("landmark", F.col("id").alias("a"), F.col("distance").alias("x")).join(own.select("landmark", F.col("id").alias("b"), F.col("distance").alias("y")), "landmark")
     return via.groupBy("a", "b").agg(F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.min(F.col("x") + F.col("y")), F.lit(cap))).alias("distance"))
@@ -266,9 +269,9 @@ def trace_processes(calls: DataFrame, starts: DataFrame, depth: int = 10, branch
             break
     chains = materialize(done.unionByName(open_).where(F.size("path") > 1).distinct(), "chains")
     # a chain can only be within one that has its first node
-    one = chains.select("path", F.explode("path").alias("x"))
-    hits = one.join(one.select(F.col("path").alias("other"), "x"), "x").where(F.size("other") > F.size("path")).groupBy("path", "other").agg(F.count(F.lit(1)).alias("k"))
-    inside = hits.where(F.col("k") == F.size("path")).select("path").distinct()
+    nodes = chains.select(F.col("path").alias("other"), F.explode("path").alias("x"))
+    hits = chains.withColumn("x", F.col("path")[0]).join(nodes, "x").where(F.size("other") > F.size("path"))
+    inside = hits.where(F.size(F.array_except("path", "other")) == 0).select("path").distinct()
     return chains.join(inside, "path", "left_anti")
 
 

@@ -71,7 +71,8 @@ def promote(staged: DataFrame, now: int, distance: Column | None = None) -> Data
 def infer_edges(fresh: DataFrame, nodes: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
     """(from_id, to_id, type, weight): for each new node its k strongest links by shared package, shared tags or Bug/Solution affinity.
 
-    Tags in common are found by an equi-join. Without any, a common package weighs 0.3 and a Bug and a Solution 0.35, always: there the
+    Tags in common are found by an equi-join with classes of nodes: of those with the same tags that are alike in being a Bug, a Solution or
+    neither, and, for links within a package, of the same package, only the first k + 1 by id can be among anyone's k strongest. Without any, a common package weighs 0.3 and a Bug and a Solution 0.35, always: there the
     first k by id of the package or of the other type are enough, as whatever else stands before them is found by its tags. A new node
     without tags has links only if it is a Bug or a Solution, and only to nodes with tags: two nodes without any tag have no link.
     """
@@ -85,7 +86,13 @@ def infer_edges(fresh: DataFrame, nodes: DataFrame, k: int = 5, least: float = 0
     common = F.array_intersect("a_tags", "b_tags")
     opposed = F.col("a_type").isin("Bug", "Solution") & F.col("b_type").isin("Bug", "Solution") & (F.col("a_type") != F.col("b_type"))
     # each pair comes once: by its smallest common tag, else by its types, else by its package
-    by_tag = a.withColumn("t", F.explode("a_tags")).join(b.withColumn("t", F.explode("b_tags")), "t").where(F.col("t") == F.array_min(common)).drop("t", "bare")
+    kind = F.when(F.col("b_type").isin("Bug", "Solution"), F.col("b_type")).otherwise("")
+    tagged = b.where("size(b_tags) > 0").withColumn("kind", kind).withColumn("set", F.array_join(F.array_sort("b_tags"), "\x00"))
+    anywhere = top_k(tagged, ["kind", "set"], [F.asc("b_id")], k + 1).drop("r", "kind", "set").withColumn("t", F.explode("b_tags"))
+    inside = top_k(tagged.where("b_package_path is not null"), ["b_package_path", "kind", "set"], [F.asc("b_id")], k + 1).drop("r", "kind", "set").withColumn("t", F.explode("b_tags"))
+    asked, same_package = a.withColumn("t", F.explode("a_tags")), F.coalesce(F.col("a_package_path") == F.col("b_package_path"), F.lit(False))
+    by_tag = asked.join(anywhere, "t").where((F.col("t") == F.array_min(common)) & ~same_package)
+    by_tag = by_tag.unionByName(asked.join(inside.withColumn("a_package_path", F.col("b_package_path")), ["t", "a_package_path"]).where(F.col("t") == F.array_min(common))).drop("t", "bare")
     by_package = a.join(first("b_package_path").withColumn("a_package_path", F.col("b_package_path")), ["a_package_path", "bare"]).where((F.size(common) == 0) & ~F.coalesce(opposed, F.lit(False))).drop("bare")
     opposite = first("b_type").where("b_type in ('Bug', 'Solution')").withColumn("a_type", F.when(F.col("b_type") == "Bug", "Solution").otherwise("Bug"))
     by_type = a.join(F.broadcast(opposite), ["a_type", "bare"]).where(F.size(common) == 0).drop("bare")  # at most 4 * (k + 1) rows

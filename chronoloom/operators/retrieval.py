@@ -166,6 +166,30 @@ def hybrid_search(nodes: DataFrame, sym: DataFrame, queries: DataFrame, vectors:
     return rerank(rrf(words.unionByName(like).unionByName(linked)), active, task, package, k)
 
 
+def second_stage(hits: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(q, id, overlap, final, r, and where it is from: created_by, session_id, trust_tier): of the hits (q, id, final) of each query (q, text)
+    the k that share most of its words (ties: final, id)."""
+    text = nodes.select("id", F.concat_ws(" ", "name", "summary", "content").alias("t"), "created_by", "session_id", "trust_tier")
+    rows = hits.select("q", "id", "final").join(text, "id").join(queries.select("q", F.col("text").alias("asked")), "q")
+    rows = rows.withColumn("overlap", F.round(token_overlap(F.col("asked"), F.col("t")), 9))
+    return top_k(rows, ["q"], [F.desc("overlap"), F.desc("final"), F.asc("id")], k).select("q", "id", "overlap", "final", "r", "created_by", "session_id", "trust_tier")
+
+
+def answer_globally(questions: list[tuple[str, str]], nodes: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
+    """(q, r, id, level, member_count): for each question about the whole the k largest communities that have a summary; questions about
+    parts, and those to a small graph, have none. questions: (q, text), a stated list."""
+    n = nodes.where(is_active()).count()
+    wide = [q for q, t in questions if classify_question(t, n)["scope"] == "global"]
+    best = communities.where("trim(summary) <> ''").orderBy(F.desc("member_count"), "id").limit(k)
+    rows = best.select("id", "level", "member_count", F.explode(F.array(*[F.lit(q) for q in wide]).cast("array<string>")).alias("q"))
+    return top_k(rows, ["q"], [F.desc("member_count"), F.asc("id")], k).select("q", "r", "id", "level", "member_count")
+
+
+def answer_terms(text: str) -> str:
+    """A question as the words that must match: quoted phrases and words, without operators and signs."""
+    return " ".join(sanitize_query(text))
+
+
 def classify_question(text: str, active_nodes: int, least: int = 100) -> dict[str, object]:
     """Whether a question is about the whole (answered from communities) or about parts; small graphs are always asked for parts."""
     t = text.lower()

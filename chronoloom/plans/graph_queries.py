@@ -107,7 +107,7 @@ def graph_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return graph.cohesion(members(spark, d), edges(spark, d))
 
 
-@query("""select community_id, string_agg(case when r <= 5 then concat_ws(': ', name, summary) end, '; ' order by r) as summary, sha256(string_agg(entity_id, ',' order by entity_id)) as summary_hash, count(*) as member_count
+@query("""select community_id, string_agg(case when r <= 5 then concat_ws(': ', name, summary) end, '; ' order by r) as summary, sha256(count(*)::varchar || ':' || sum(('0x' || substr(md5(entity_id), 1, 15))::bigint)::hugeint::varchar) as summary_hash, count(*) as member_count
 from (select m.community_id, m.entity_id, name, summary, row_number() over (partition by m.community_id order by importance desc, m.entity_id) as r from (select distinct community_id, entity_id from m) m join an on an.id = m.entity_id) group by community_id""")
 def graph_summaries(spark: SparkSession, d: str) -> DataFrame:
     return graph.community_summaries(members(spark, d), nodes(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators import conflicts as cf
 from chronoloom.operators import knowledge as kn
 from chronoloom.operators import maintenance as mt
 from chronoloom.operators import writing as wr
@@ -271,3 +272,37 @@ def view_staged(spark: SparkSession, d: str) -> DataFrame:
     """Of each type the 50 external facts that wait longest and have not expired."""
     staged = mt.stage(nodes(spark, d, "trust_tier = 4")).where(F.col("expires_at") >= T0)
     return top_k(staged, ["proposed_type"], [F.asc("created_at"), F.asc("id")], 50).select(F.col("proposed_type").alias("type"), "id", "created_at")
+
+
+# ---- sync ---------------------------------------------------------------------------------------------------------
+
+_CONFLICTS = _SETS + """, cp as (select a, b from """ + _PAIRS.replace("s > .5", "s > .95") + """ and (select content from an where id = a) <> (select content from an where id = b)),
+ln as (select 'n:' || a as x, 'n:' || b as y from cp union select 'n:' || id, 'g:' || conflict_group_id from an where conflict_group_id is not null), sy as (select x, y from ln union select y, x from ln),
+cl(id, x) as (select x, x from sy union select cl.id, sy.y from cl join sy on sy.x = cl.x)
+"""
+
+
+@query("select substr(id, 3) as id, substr(min(x), 3) as group_id from cl where id like 'n:%' group by id", PRE.replace("with n as", "with recursive n as") + _CONFLICTS)
+def sync_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d, is_active())
+    return cf.conflict_groups(n, cf.conflict_pairs(n))
+
+
+_NAME = "list_aggregate(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))), 'string_agg', ' ')"
+
+
+@query(f"select distinct l.id, p.id as peer_id, 'merged' as verdict from (select *, {_NAME} as w from an where created_by = 'local') l join (select *, {_NAME} as w from an where created_by <> 'local') p on l.type = p.type and l.w = p.w where l.w <> '' and l.id <> p.id")
+def sync_peers(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d, is_active())
+    return cf.peer_matches(n.where("created_by = 'local'"), n.where("created_by <> 'local'"))
+
+
+@query("""select name, type, arg_max(id, (clock, own, id)) as id, max(clock) as clock from (select name, type, id, t_created as clock, 1 as own from an where created_by = 'local' union all
+select name, type, id, last_accessed, 0 from an where created_by <> 'local' and visibility <> 'private') group by name, type""")
+def sync_pull(spark: SparkSession, d: str) -> DataFrame:
+    """Of each name and type the latest node: local ones by their creation, peers' by their last use."""
+    n = nodes(spark, d, is_active()).select("id", "name", "type", "visibility", "created_by", "t_created", "last_accessed")
+    first = lambda df, c: df.withColumn("clock", F.col(c)).groupBy("name", "type").agg(F.max(F.struct("clock", "id", "visibility")).alias("b")).select("name", "type", "b.*")
+    mine = first(n.where("created_by = 'local'"), "t_created")
+    theirs = first(n.where("created_by <> 'local' and visibility <> 'private'"), "last_accessed")
+    return cf.pulled(mine, theirs, ["name", "type"], "clock").select("name", "type", "id", "clock")

@@ -102,6 +102,35 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return r.hybrid_search(n, symmetric(edges(spark, d)), q, v, task="bug-fix", package="packages/billing")
 
 
+_LAST = _HYBRID.rindex("\nselect q, id, type")
+
+
+@query(_HYBRID[:_LAST] + ", hy as (" + _HYBRID[_LAST:] + """), tx as (select hy.q, hy.id, final, created_by, session_id, trust_tier, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w,
+list_distinct(regexp_extract_all(lower(concat_ws(' ', name, summary, content)), '[a-z0-9_]+')) as t from hy join an using (id) join asked on asked.q = hy.q)
+select q, id, round(len(list_intersect(w, t)) / len(w), 9) as overlap, final, row_number() over (partition by q order by round(len(list_intersect(w, t)) / len(w), 9) desc, final desc, id) as r, created_by, session_id, trust_tier from tx qualify r <= 10""")
+def search_second_stage(spark: SparkSession, d: str) -> DataFrame:
+    return r.second_stage(hybrid_search(spark, d), nodes(spark, d, is_active()), questions(spark))
+
+
+_WIDE = [("w1", "explain the architecture overview"), ("w2", "how does the function fix the bug"), ("w3", "structure of the modules")]
+
+
+@query("select q, row_number() over (partition by q order by member_count desc, id) as r, id, level, member_count from (select * from communities where trim(summary) <> '' order by member_count desc, id limit 5), (values ('w1'), ('w3')) v(q)")
+def search_global(spark: SparkSession, d: str) -> DataFrame:
+    return r.answer_globally(_WIDE, nodes(spark, d, is_active()), table(spark, d, "communities"))
+
+
+_QUOTED = [("s1", '"token session" AND'), ("s2", "stale: (ledger)")]
+
+
+@query(", asked(q, text) as (values ('s1', 'token session'), ('s2', 'stale ledger'))" + _BM25.format(k=20) + "select q, id, score from bm")
+def search_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with quotes, operators and signs are asked as their words."""
+    asked = spark.createDataFrame([(q, r.answer_terms(t)) for q, t in _QUOTED], "q string, text string")
+    n = nodes(spark, d, is_active())
+    return r.bm25(n.select("id", F.concat_ws(" ", "name", "content", "summary", F.array_join("tags", " ")).alias("text")), asked).select("q", "id", "score")
+
+
 @query("select session_id, tool_name, event_id, n, case when n <= 3 then 'normal' when n <= 8 then 'reduced' else 'blocked' end as mode from (select *, row_number() over (partition by session_id, tool_name order by occurred_at, event_id) as n from h where session_id is not null and tool_name is not null)")
 def search_throttle(spark: SparkSession, d: str) -> DataFrame:
     return r.throttle(events(spark, d))

@@ -108,6 +108,31 @@ def digest_monthly(spark: SparkSession, d: str) -> DataFrame:
     return bt.digest(nodes(spark, d), T0, "monthly")
 
 
+@query(f"""select type, count(*) as n, string_agg(case when r <= 5 then name end, ' | ' order by r) as names, coalesce(list_position(['Decision','Convention','Bug','Solution','Concept'], type) - 1, 5) as position
+from (select *, row_number() over (partition by type order by importance desc, id) as r from an where created_at between {T0 - 7 * bt.DAY} and {T0}) group by type""")
+def digest_weekly(spark: SparkSession, d: str) -> DataFrame:
+    return bt.digest(nodes(spark, d), T0, "weekly")
+
+
+@query(f"select id, type, created_at from n where created_at between {SINCE} and {T0} order by created_at desc, id limit 100")
+def history_newest(spark: SparkSession, d: str) -> DataFrame:
+    return bt.history_list(nodes(spark, d), SINCE, T0).select("id", "type", "created_at")
+
+
+@query(f"select id, weight, count(*) over () as total from e where (t_valid_from is null or t_valid_from <= {T0}) and (t_valid_until is null or t_valid_until > {T0}) order by weight desc, id limit 200")
+def asof_edges_capped(spark: SparkSession, d: str) -> DataFrame:
+    return bt.as_of_edges(edges(spark, d, bt.valid_at(T0)), T0, 200).select("id", "weight", "total")
+
+
+@query("""select 'nodes' as name, count(*) as n from an union all select 'edges', count(*) from ae union all select 'communities', count(*) from communities union all select 'sessions', count(distinct session_id) from h union all
+select 'latest update', max(updated_at) from communities union all select 'latest node', max(t_created) from n""")
+def stats_totals(spark: SparkSession, d: str) -> DataFrame:
+    sessions = events(spark, d).select("session_id").where("session_id is not null").distinct()
+    counts = bt.totals({"nodes": nodes(spark, d, bt.is_active()), "edges": edges(spark, d, bt.edge_is_active()), "communities": table(spark, d, "communities"), "sessions": sessions})
+    latest = table(spark, d, "communities").agg(F.max("updated_at").alias("n")).select(F.lit("latest update").alias("name"), "n")
+    return counts.unionByName(latest).unionByName(nodes(spark, d).agg(F.max("t_created").alias("n")).select(F.lit("latest node").alias("name"), "n"))
+
+
 @query("""select id, from_id, to_id from e where (from_id is null or from_id not in (select id from n where archived_at is not null and t_valid_until is null))
 and (to_id is null or to_id not in (select id from n where archived_at is not null and t_valid_until is null))""")
 def prune_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -108,8 +108,8 @@ def text_front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_symbols(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).select("id", F.try_element_at("file_paths", F.lit(1)).alias("path"), F.col("content").alias("text"))
-    return tf.symbols(n)
+    n = nodes(spark, d).select("id", F.explode("file_paths").alias("path"), F.col("content").alias("text"))
+    return tf.symbols(n).distinct()
 
 
 _P = "(select pattern_id, event_id, content, matched_line from detected_patterns qualify row_number() over (partition by pattern_id) = 1)"
@@ -132,3 +132,15 @@ def text_violations(spark: SparkSession, d: str) -> DataFrame:
 def text_content_kind(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "detected_patterns").dropDuplicates(["pattern_id"])
     return p.select(F.col("pattern_id").alias("id"), tx.content_kind(F.col("matched_line")).alias("kind"))
+
+
+@query("select id, type, confidence, content from (select id, type, confidence::double as confidence, regexp_replace(line, p, '') as content, line, p from (select pattern_id as id, trim(split_part(matched_line, chr(10), 1)) as line from " + _P + ") x, (values " + ", ".join("('{}', '{}', {})".format(t, p.replace("'", "''"), c) for t, p, c in tx.COMMIT_RULES) + ") r(type, p, confidence)) where regexp_matches(line, p)")
+def text_commits(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "detected_patterns").dropDuplicates(["pattern_id"])
+    return tf.commit_facts(p.select(F.col("pattern_id").alias("id"), F.col("matched_line").alias("text"))).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query("""select * from (select doc_id as id, 'heading' as kind, unnest(regexp_extract_all(text, '(?m)^(#{1,6}[ \t]+[^\n]+)', 1)) as value from documents union all
+select doc_id, 'code', unnest(regexp_extract_all(text, '(?s)```[A-Za-z]*\n(.*?)```', 1)) from documents union all select doc_id, 'link', unnest(regexp_extract_all(text, '\\[[^\\]\n]*\\]\\(([^)\\s]+)\\)', 1)) from documents) where not (kind = 'link' and regexp_matches(value, '^[a-z]+:'))""")
+def text_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return tf.markdown_parts(docs(spark, d).select("id", "text"))

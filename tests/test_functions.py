@@ -74,6 +74,14 @@ def test_extractors(spark):
     f = spark.createDataFrame([("1", "a/b.py", "import os\nclass A:\n    def f(self): ...\n"), ("2", "x.ts", 'import {a} from "./y";\nexport function g() {}'), ("3", "z.txt", "def no")], "id string, path string, text string")
     got = {(r.id, r.category, r.name) for r in tf.symbols(f).collect()}
     assert got == {("1", "import", "os"), ("1", "class", "A"), ("1", "function", "f"), ("2", "import", "./y"), ("2", "function", "g"), ("2", "export", "g")}
+    more = [("k", "a.kt", "import a.B\nclass C { fun d() = e(1) }"), ("s", "a.swift", "import UIKit\nstruct S { func go() { run() } }"), ("p", "a.php", "use A\\B;\ntrait T { function f() { g(); } }"), ("r", "a.rb", "require 'x'\nmodule M\ndef ok?\n go(1)\nend"), ("e", "a.exs", "defmodule A.B do\n alias C.D\n defp h(x), do: if(x)\nend"), ("d", "a.dart", "import 'p.dart';\nmixin M { Future<int> f(int a) async { return g(a); } }"), ("c", "a.scala", "import a.b\nobject O { def f(x: Int) = h(x) }")]
+    got = {(r.id, r.category, r.name) for r in tf.symbols(spark.createDataFrame(more, "id string, path string, text string")).collect()}
+    assert got == {
+        ("k", "import", "a.B"), ("k", "class", "C"), ("k", "function", "d"), ("k", "call", "e"), ("s", "import", "UIKit"), ("s", "class", "S"), ("s", "function", "go"), ("s", "call", "run"),
+        ("p", "import", "A\\B"), ("p", "class", "T"), ("p", "function", "f"), ("p", "call", "g"), ("r", "import", "x"), ("r", "class", "M"), ("r", "function", "ok?"), ("r", "call", "go"),
+        ("e", "class", "A.B"), ("e", "import", "C.D"), ("e", "function", "h"), ("d", "import", "p.dart"), ("d", "class", "M"), ("d", "function", "f"), ("d", "call", "g"),
+        ("c", "import", "a.b"), ("c", "class", "O"), ("c", "function", "f"), ("c", "call", "h"),
+    }
     o = docs(spark, ("1", "x\nFAILED tests/a.py::test_b - AssertionError: no\n"))
     assert [tuple(r) for r in tf.failures(o).collect()] == [("1", "tests/a.py", "test_b", "AssertionError: no")]
     k = docs(spark, ("1", "TODO: a\nplain\nBUG: we decided"))
@@ -182,3 +190,22 @@ def test_conflict_and_history(spark):
     got = {r.id: (r.t_valid_until, r.conflict_group_id) for r in bt.resolve_conflict(n, "g", "a", 9).collect()}
     assert got == {"a": (None, None), "b": (9, None), "c": (None, None)}
     assert math.isclose(sum(r.n for r in bt.history_by_day(n, 0, 1).collect()), 3)
+
+
+def test_failures_under_their_files(spark):
+    out = "run\n ❯ src/a.test.ts (3 tests | 2 failed)\n   × adds up\n     → AssertionError: expected 1\n   × no message\n ❯ b.spec.js (1 test | 1 failed)\n   × third\n     → Error: x\n     ❯ src/b.ts:3:1\n"
+    got = sorted(tuple(r) for r in tf.block_failures(docs(spark, ("1", out), ("2", None), ("3", "all passed"))).collect())
+    assert got == [("1", "b.spec.js", "third", "Error: x"), ("1", "src/a.test.ts", "adds up", "AssertionError: expected 1"), ("1", "src/a.test.ts", "no message", "Test failed")]
+
+
+def test_diff_files(spark):
+    out = "M\tsrc/a.ts\nR100\told.py\tnew/x.py\n\n src/b.go | 4 ++--\n 2 files changed, 3 insertions(+)\nlib/c.rs\nnothing here\n"
+    got = [(r.line_no, r.path) for r in tf.diff_files(docs(spark, ("1", out), ("2", None), ("3", ""))).orderBy("line_no", "path").collect()]
+    assert got == [(1, "src/a.ts"), (2, "new/x.py"), (2, "old.py"), (4, "src/b.go"), (6, "lib/c.rs")]
+
+
+def test_commits_and_markdown(spark):
+    d = docs(spark, ("1", "fix(api): close it\nbody"), ("2", "feat: x"), ("3", "fixed"), ("4", None))
+    assert {(r.id, r.type, r.content) for r in tf.commit_facts(d).collect()} == {("1", "Solution", "close it"), ("2", "Decision", "x")}
+    m = docs(spark, ("1", "# A\ntext [x](b.md#c) [y](https://z)\n```py\ncode()\n```\n## B"), ("2", None))
+    assert sorted((r.kind, r.value) for r in tf.markdown_parts(m).collect()) == [("code", "code()\n"), ("heading", "# A"), ("heading", "## B"), ("link", "b.md#c")]

@@ -98,3 +98,27 @@ print("rows", s.range(3).mapInArrow(f, "id long").count(), ".zip" in str(s.range
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=120)
     assert "rows 3 True" in out.stdout, out.stdout + out.stderr[-2000:]
+
+
+def test_conflicts_and_peers(spark):
+    from chronoloom.operators import conflicts as cf
+
+    words = " ".join(f"w{i}" for i in range(40))
+    schema = "id string, type string, name string, content string, t_valid_from long, t_valid_until long, archived_at long, conflict_group_id string"
+    rows = [
+        ("a", "T", "x y", words, None, None, None, None), ("b", "T", "y x", words + " one", None, None, None, "g1"), ("c", "T", "z", words + " two", 5, None, None, None),
+        ("d", "U", "x y", words, None, None, None, None), ("e", "T", None, words, None, None, None, None), ("f", "T", "q", None, None, None, None, None), ("g", "T", "q", words, None, 1, None, None), ("h", "T", "v", "far away", None, None, None, None),
+    ]
+    n = spark.createDataFrame(rows, schema)
+    pairs = cf.conflict_pairs(n)
+    # equal contents (a, e) are no conflict; 40 of 42 words (b, c) are
+    assert {(r.a, r.b) for r in pairs.collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "e"), ("c", "e")}
+    assert {r.id: r.group_id for r in cf.conflict_groups(n, pairs).collect()} == dict.fromkeys("abce", "g1")
+    near = spark.createDataFrame([("h", "a", 0.9), ("b", "a", 0.2)], "a string, b string, cosine double")
+    assert {(r.a, r.b) for r in cf.conflict_pairs(n, near).collect()} == {("a", "h"), ("a", "c"), ("b", "c"), ("b", "e"), ("c", "e")}
+    got = cf.peer_matches(n.where("id in ('a', 'h')"), n, near.select(F.col("a").alias("b"), F.col("b").alias("a"), "cosine").union(spark.createDataFrame([("h", "c", 0.85)], "a string, b string, cosine double").select("b", "a", "cosine")))
+    assert {(r.id, r.peer_id): r.verdict for r in got.collect()} == {("a", "b"): "merged", ("a", "h"): "pending", ("h", "c"): "pending"}
+    assert cf.conflict_pairs(n.limit(0)).count() == 0
+    own = spark.createDataFrame([("k", 1, "team", 5), ("l", 1, "team", None)], "key string, v int, visibility string, clock long")
+    other = spark.createDataFrame([("k", 2, "team", 5), ("l", 2, "team", 1), ("m", 3, "private", 9), ("o", 4, "team", None), ("p", 5, "team", 1)], own.schema)
+    assert {r.key: r.v for r in cf.pulled(own, other, ["key"], "clock").collect()} == {"k": 1, "l": 2, "p": 5}

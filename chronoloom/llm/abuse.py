@@ -220,6 +220,10 @@ class ExampleIndex:
             lead.update(k[o][: int(np.argmax(after < LEAST * LEAST)) + 1].tolist())
         self.lead = frozenset(vocabulary[i] for i in lead)
         self.bad_word = {w: float(self.bad[i] * self.idf[i]) for w, i in self.ids.items() if self.bad[i] > 0}
+        # per word: the abusive examples that have it, with its weight
+        o = np.argsort(self.cols[:end], kind="stable")
+        self.bad_list, self.bad_vals = np.repeat(np.arange(n), np.diff(self.starts))[:end][o], self.vals[:end][o]
+        self.bad_at = np.searchsorted(self.cols[:end][o], np.arange(len(vocabulary) + 1))
         # the blocks of abusive examples come first in each word's list: how many these are
         self.bad_blocks = -(-n_bad // BLOCK)
         word = np.repeat(np.arange(len(vocabulary)), np.diff(self.top_at))
@@ -246,8 +250,8 @@ class ExampleIndex:
         return cols, v / max(1e-9, norm)
 
     def may_be_abusive(self, passages_: list[list[str]]) -> np.ndarray:
-        """For many passages: False only if no abusive example can be LEAST similar, because none of their leading words is there or
-        in no block of theirs the largest weights of the passage's words add up to it."""
+        """For many passages: whether some abusive example is LEAST similar. Most are settled without looking at examples: none of these
+        examples' leading words is there, or in no block of theirs the largest weights of the passage's words add up to LEAST."""
         out = np.zeros(len(passages_), bool)
         some = [i for i, w in enumerate(passages_) if not self.lead.isdisjoint(w)]
         get, unknown = self.ids.get, (0.5 * self.rare) ** 2
@@ -276,9 +280,38 @@ class ExampleIndex:
             at = np.repeat(self.top_at[c] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             bound = np.bincount(np.repeat(owner, size) * self.bad_blocks + self.top_block[at], self.top[at] * np.repeat(q, size), len(part) * self.bad_blocks)
             if len(bound):
-                out[np.array(part)] = open_ & (bound.reshape(len(part), -1).max(axis=1) >= need)
+                left = np.array(part)[open_ & (bound.reshape(len(part), -1).max(axis=1) >= need)]
+                for k in range(0, len(left), max(1, CELLS // max(1, self.n_bad))):
+                    rows = left[k : k + max(1, CELLS // max(1, self.n_bad))]
+                    out[rows] = self._nearest_bad([passages_[i] for i in rows]) >= LEAST - 1e-12
         return out
 
+    def _nearest_bad(self, passages_: list[list[str]]) -> np.ndarray:
+        """The exact cosine of each passage's nearest abusive example, for many passages at once."""
+        cols: list[int] = []
+        often: list[int] = []
+        starts, strange = [], []
+        get = self.ids.get
+        for words in passages_:
+            starts.append(len(cols))
+            unknown = 0
+            for w, n in Counter(words).items():
+                c = get(w)
+                if c is None:
+                    unknown += 1
+                else:
+                    cols.append(c)
+                    often.append(n)
+            strange.append(unknown)
+        c = np.array(cols, np.int64)
+        v = (1 + np.log(np.array(often, float))) * self.idf[c]
+        owner = np.repeat(np.arange(len(passages_)), np.diff([*starts, len(cols)]))
+        v /= np.sqrt(np.bincount(owner, v * v, len(passages_)) + np.array(strange) * (0.5 * self.rare) ** 2)[owner]
+        size = self.bad_at[c + 1] - self.bad_at[c]
+        at = np.repeat(self.bad_at[c] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        cos = np.bincount(np.repeat(owner, size) * self.n_bad + self.bad_list[at], self.bad_vals[at] * np.repeat(v, size), len(passages_) * self.n_bad)
+        return cos.reshape(len(passages_), -1).max(axis=1)
+
     def nearest(self, words: list[str], k: int = NEAREST, without: int | None = None, only_if_bad: bool = False) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest examples with a cosine of at least LEAST. without: a document to leave out.
         only_if_bad: nothing at all if no abusive example is LEAST similar, which is looked at first."""

@@ -67,7 +67,7 @@ SYMBOLS = {
     "ruby": {"function": r"\bdef\s+(?:self\.)?(\w+[?!]?)", "class": r"(?m)^\s*(?:class|module)\s+([\w:]+)", "import": r"""\brequire(?:_relative)?\s+["']([^"']+)["']"""},
     "scala": {"function": r"\bdef\s+(\w+)", "class": r"\b(?:class|object|trait)\s+(\w+)", "import": r"(?m)^\s*import\s+([\w.]+)"},
     "elixir": {"function": r"\bdefp?\s+(\w+[?!]?)", "class": r"\bdefmodule\s+([\w.]+)", "import": r"(?m)^\s*(?:import|alias|use|require)\s+([\w.]+)"},
-    "dart": {"function": r"(?m)^\s*(?:[\w<>?]+\s+)+(\w+)\s*\([^;{]*\)\s*(?:async\s*)?(?:\{|=>)", "class": r"\b(?:class|mixin|extension)\s+(\w+)", "import": r"""(?m)^\s*import\s+["']([^"']+)["']"""},
+    "dart": {"function": r"[\w<>?]+\s+(?!(?:if|for|while|switch|catch)\b)(\w+)\s*\([^;{}]*\)\s*(?:async\s*)?(?:\{|=>)", "class": r"\b(?:class|mixin|extension)\s+(\w+)", "import": r"""(?m)^\s*import\s+["']([^"']+)["']"""},
     "c": {"function": r"(?m)^[A-Za-z_][\w\s*]*\s\*?(\w+)\s*\([^;{]*\)\s*\{", "class": r"\b(?:struct|enum|union|class)\s+(\w+)", "import": r"""(?m)^\s*#include\s+[<"]([^>"]+)[>"]""", "export": r"\bextern\s+[\w\s*]+?(\w+)\s*\("},
 }
 LANGUAGE = {
